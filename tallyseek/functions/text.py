@@ -87,7 +87,7 @@ def collapse_spaces(text: Column) -> Column:
 
 def whitespace_tokens(text: Column) -> Column:
     """Tokens between Unicode blanks; an empty text gives an empty array."""
-    return F.filter(F.split(text, "(?U)\\s+"), lambda token: token != "")
+    return F.array_remove(F.split(text, "(?U)\\s+"), "")
 
 
 def word_tokens(text: Column) -> Column:

@@ -130,17 +130,38 @@ def build_index_for(
     )
 
 
+def stored(index: LexicalIndex) -> LexicalIndex:
+    """Compute the postings, term and corpus tables once; every later step reads them back.
+
+    Reading back loses the partitioning, so the (narrow) postings are placed again.
+    """
+    postings = materialize(index.postings)
+    return LexicalIndex(
+        index.chunks,
+        postings.repartition("chunk_id"),
+        materialize(document_frequency(postings)),
+        materialize(index.corpus),
+    )
+
+
 def match(
     postings: DataFrame, weighted: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Join postings to `query_id, term, …, df` rows on the term.
 
-    Small query side: broadcast, so the postings keep their `chunk_id` partitioning.
+    Small query side: one broadcast row per term, so a posting is looked up once and keeps
+    its `chunk_id` partitioning.
     Otherwise a shuffle join on `(term, salt)`, where a term gets salts in proportion to its
     share of the postings and the query rows are repeated once per salt.
     """
     if fits(weighted, broadcast_rows):
-        return postings.join(F.broadcast(weighted.drop("df")), "term")
+        details = [c for c in weighted.columns if c not in ("term", "df")]
+        per_term = weighted.groupBy("term").agg(
+            F.collect_list(F.struct(*details)).alias("_asked")
+        )
+        return postings.join(F.broadcast(per_term), "term").select(
+            *postings.columns, F.inline("_asked")
+        )
     frequencies = materialize(weighted.select("term", "df").distinct())
     total = frequencies.agg(F.sum("df")).scalar()
     salts = F.greatest(F.lit(1), F.ceil(F.col("df") * HOT_SHARE / total)).cast("int")
@@ -230,7 +251,7 @@ def bm25_top_k(
 ) -> DataFrame:
     """`query_id, chunk_id, score, rank` of the k best chunks per question."""
     asked = query_terms(queries)
-    index = index or build_index_for(chunks, asked)
+    index = index or stored(build_index_for(chunks, asked))
     weighted = bm25_query_weights(index, asked)
     gains = bm25_gains(index, weighted, params, broadcast_rows)
     ranked = rank_with_unmatched(gains, queries, index.chunks, k)
@@ -307,17 +328,12 @@ def tfidf_top_k(
 ) -> DataFrame:
     """`query_id, chunk_id, score, rank` by cosine of TF-IDF vectors."""
     asked = query_terms(queries, word_tokens)
-    index = index or with_stored_terms(build_index(chunks, word_tokens))
+    index = index or stored(build_index(chunks, word_tokens))
     scores = tfidf_scores(index, asked, broadcast_rows)
     ranked = rank_with_unmatched(scores, queries, index.chunks, k, "cosine")
     return ranked.select("query_id", "chunk_id", F.col("cosine").alias("score"), "rank")
 
 
-def with_stored_terms(index: LexicalIndex) -> LexicalIndex:
-    """Compute the term table once; it is read by the size check, both joins and the norms."""
-    return LexicalIndex(index.chunks, index.postings, materialize(index.terms), index.corpus)
-
-
 def top1_accuracy(ranking: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of labelled questions whose best chunk is the labelled one."""
     best = ranking.filter(F.col("rank") == 1).select("query_id", "chunk_id")
