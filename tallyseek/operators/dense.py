@@ -25,6 +25,8 @@ Encoder = Callable[[list[str]], np.ndarray]
 QUESTION_BLOCK = 4096
 # Vectors per grid cell: bounds a task's memory on the grid path.
 CELL_VECTORS = 50_000
+# Scores held at once: bounds the score matrix of a task.
+SLICE_SCORES = 4_000_000
 
 
 def embed(
@@ -144,21 +146,25 @@ def _hits(
     question_matrix: np.ndarray,
     k: int,
     exclude_same_id: bool,
-) -> pd.DataFrame:
-    matrix, usable = _unit_rows(vectors["embedding"])
-    ids = vectors["chunk_id"].to_numpy()[usable]
-    scores = matrix @ question_matrix.T
-    if exclude_same_id:
-        scores[ids[:, None] == question_ids[None, :]] = -np.inf
-    rows, columns = best_cells(scores, ids, k)
-    found = pd.DataFrame(
-        {
-            "query_id": question_ids[columns],
-            "chunk_id": ids[rows],
-            "score": scores[rows, columns],
-        }
-    )
-    return found[np.isfinite(found["score"])]
+) -> Iterator[pd.DataFrame]:
+    """The k best vectors per question of every slice of the batch."""
+    rows_at_once = max(k, SLICE_SCORES // max(1, len(question_ids)))
+    for start in range(0, len(vectors), rows_at_once):
+        part = vectors.iloc[start : start + rows_at_once]
+        matrix, usable = _unit_rows(part["embedding"])
+        ids = part["chunk_id"].to_numpy()[usable]
+        scores = matrix @ question_matrix.T
+        if exclude_same_id:
+            scores[ids[:, None] == question_ids[None, :]] = -np.inf
+        rows, columns = best_cells(scores, ids, k)
+        found = pd.DataFrame(
+            {
+                "query_id": question_ids[columns],
+                "chunk_id": ids[rows],
+                "score": scores[rows, columns],
+            }
+        )
+        yield found[np.isfinite(found["score"])]
 
 
 def _scan_with(held: pd.DataFrame, k: int, exclude_same_id: bool):
@@ -171,7 +177,7 @@ def _scan_with(held: pd.DataFrame, k: int, exclude_same_id: bool):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             if len(frame) and len(question_ids):
-                yield _hits(frame, question_ids, question_matrix, k, exclude_same_id)
+                yield from _hits(frame, question_ids, question_matrix, k, exclude_same_id)
 
     return scan
 
@@ -194,7 +200,7 @@ def _grid_search(left, right, k, block, cell_vectors, exclude_same_id, schema) -
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
         matrix, usable = _unit_rows(questions["embedding"])
         ids = questions["query_id"].to_numpy()[usable]
-        return _hits(vectors, ids, matrix, k, exclude_same_id)
+        return pd.concat(_hits(vectors, ids, matrix, k, exclude_same_id), ignore_index=True)
 
     cells = ["vector_cell", "question_cell"]
     spread_vectors = spread(left, "chunk_id", cells[0], vector_cells, cells[1], question_cells)

@@ -60,3 +60,14 @@ def hot_keys(facts: DataFrame, key: str) -> DataFrame:
     counts = materialize(facts.filter(F.col(key).isNotNull()).groupBy(key).count())
     total = counts.agg(F.sum("count")).scalar()
     return counts.filter(F.col("count") * HOT_SHARE >= total).select(key)
+
+
+def inline_table(spark: SparkSession, rows, columns: dict[str, str]) -> DataFrame:
+    """A short fixed list as a one-partition table of literals."""
+    structs = [
+        F.struct(
+            *[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, columns.items())]
+        )
+        for row in rows
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
