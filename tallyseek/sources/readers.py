@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from os.path import splitext
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyseek.operators.chunking import chunk_texts
+from tallyseek.operators.sizing import attach
 
 RETAIL_SCHEMA = T.StructType(
     [
@@ -30,7 +33,12 @@ RETAIL_SCHEMA = T.StructType(
     ]
 )
 
-CLEANED_EXTENSIONS = (".txt", ".json")
+# Cell texts that count as missing.
+MISSING_TEXTS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 EXTRACTED_EXTENSIONS = (".pdf", ".docx")
 
 
@@ -74,24 +82,19 @@ def read_texts(spark: SparkSession, path, skip_unreadable: bool = False) -> Data
     )
 
 
-def read_json_texts(spark: SparkSession, path) -> DataFrame:
-    """`source, content`: every JSON file as indented text, letters unescaped.
-
-    The parsed form is a map or array of raw values, so files need not share a schema.
-    """
-    texts = read_texts(spark, path)
-    as_map = F.from_json("content", "map<string,string>", {"mode": "PERMISSIVE"})
-    as_list = F.from_json("content", "array<string>", {"mode": "PERMISSIVE"})
-    pretty = {"pretty": "true"}
-    is_list = F.ltrim("content").startswith("[")
-    return texts.select(
-        "source",
-        F.when(is_list, F.to_json(as_list, pretty))
-        .otherwise(F.coalesce(F.to_json(as_map, pretty), F.col("content")))
-        .alias("content"),
+@F.pandas_udf("string")
+def indented_json(texts: pd.Series) -> pd.Series:
+    """JSON with an indent of 2 and unescaped letters; Spark's writer indents differently."""
+    return texts.map(
+        lambda text: json.dumps(json.loads(text), indent=2, ensure_ascii=False), na_action="ignore"
     )
 
 
+def read_json_texts(spark: SparkSession, path) -> DataFrame:
+    """`source, content`: every JSON file as indented text; files need not share a schema."""
+    return read_texts(spark, path).withColumn("content", indented_json("content"))
+
+
 def rows_to_text(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Add `content`: `name = value` pairs in column order; a missing value reads `nan`."""
     columns = columns or rows.columns
@@ -109,19 +112,20 @@ def read_csv_texts(spark: SparkSession, path) -> DataFrame:
     rows = read_csv(spark, path)
     if not rows.head(1):
         raise ValueError(f"no rows in {path}")
-    columns = rows.columns
+    cells = rows.select(
+        "_metadata.file_name",
+        *[F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in rows.columns],
+    )
     # A multi-line CSV file is read by one task, in order.
-    numbered = rows_to_text(rows, columns).select(
-        F.col("_metadata.file_name").alias("source"),
+    numbered = rows_to_text(cells, rows.columns).select(
+        F.col("file_name").alias("source"),
         "content",
         F.monotonically_increasing_id().alias("_at"),
     )
     first = numbered.groupBy("source").agg(F.min("_at").alias("_first"))
-    return numbered.join(first, "source").select(
-        (F.col("_at") - F.col("_first") + 1).cast("string").alias("chunk_id"),
-        "source",
-        (F.col("_at") - F.col("_first") + 1).cast("int").alias("pos"),
-        "content",
+    number = F.col("_at") - F.col("_first") + 1
+    return attach(numbered, first, "source").select(
+        number.cast("string").alias("chunk_id"), "source", number.cast("int").alias("pos"), "content"
     )
 
 
