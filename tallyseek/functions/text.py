@@ -28,6 +28,9 @@ HTML_ENTITIES = (
     ("&nbsp;", " "), ("&amp;", "&"),
 )
 
+# Unicode blanks, and the four information separators that also end a token.
+BLANKS = "(?U)[\\s\\x1C-\\x1F]+"
+
 # Code-point ranges of pictographs, flags, dingbats, joiners and skin tones.
 EMOJI_CLASS = (
     "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2B05}-\\x{2B07}\\x{2B1B}\\x{2B1C}\\x{2B50}"
@@ -82,17 +85,17 @@ def strip_punctuation(text: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
+    return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
 def whitespace_tokens(text: Column) -> Column:
     """Tokens between Unicode blanks; an empty text gives an empty array."""
-    return F.array_remove(F.split(text, "(?U)\\s+"), "")
+    return F.array_remove(F.split(text, BLANKS), "")
 
 
 def word_tokens(text: Column) -> Column:
-    """Lower-case runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit("(?U)(\\b\\w\\w+\\b)"), F.lit(1))
+    """Lower-case runs of two or more letters, digits or underscores of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0))
 
 
 def _map_tokens(tokens: Column, table: dict[str, str]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +72,8 @@ def inline_table(spark: SparkSession, rows, columns: dict[str, str]) -> DataFram
         for row in rows
     ]
     return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run, next to the session's checkpoints."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
