@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyseek.functions.lexicon import Lexicon
 
@@ -39,7 +40,7 @@ EMOJI_CLASS = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compose_unicode(text: pd.Series) -> pd.Series:
     """NFC form; Spark has no built-in for it."""
     return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")

@@ -82,7 +82,7 @@ def read_texts(spark: SparkSession, path, skip_unreadable: bool = False) -> Data
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def indented_json(texts: pd.Series) -> pd.Series:
     """JSON with an indent of 2 and unescaped letters; Spark's writer indents differently."""
     return texts.map(
