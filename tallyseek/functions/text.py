@@ -10,11 +10,12 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tallyseek.functions.lexicon import Lexicon
+from tallyseek.operators.sizing import attach
 
 # ASCII punctuation that the cleaning chain deletes.
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -33,10 +34,10 @@ HTML_ENTITIES = (
 BLANKS = "(?U)[\\s\\x1C-\\x1F]+"
 
 # Code-point ranges of pictographs, flags, dingbats, joiners and skin tones.
-EMOJI_CLASS = (
-    "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2B05}-\\x{2B07}\\x{2B1B}\\x{2B1C}\\x{2B50}"
+EMOJI_RANGES = (
+    "\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2B05}-\\x{2B07}\\x{2B1B}\\x{2B1C}\\x{2B50}"
     "\\x{2B55}\\x{231A}\\x{231B}\\x{2328}\\x{23CF}\\x{23E9}-\\x{23F3}\\x{23F8}-\\x{23FA}"
-    "\\x{E0020}-\\x{E007F}\\x{FE0F}\\x{200D}\\x{20E3}]"
+    "\\x{E0020}-\\x{E007F}\\x{FE0F}\\x{200D}\\x{20E3}"
 )
 
 
@@ -56,7 +57,8 @@ def fix_encoding(text: Column, compose: bool = False) -> Column:
     for entity, character in HTML_ENTITIES:
         decoded = F.replace(decoded, F.lit(entity), F.lit(character))
     # Text that already holds a tag keeps its entities: it is markup, not damaged prose.
-    out = F.when(F.contains(text, F.lit("<")), text).otherwise(decoded)
+    damaged = F.contains(text, F.lit("&")) & ~F.contains(text, F.lit("<"))
+    out = F.when(damaged, decoded).otherwise(text)
     out = F.translate(out, CURLY_QUOTES, PLAIN_QUOTES)
     out = F.regexp_replace(out, "\\r\\n?|[\\x{2028}\\x{2029}\\x{85}]", "\n")
     out = F.regexp_replace(out, "[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F\\uFEFF]", "")
@@ -73,16 +75,18 @@ def strip_urls(text: Column) -> Column:
 
 
 def strip_special_characters(text: Column) -> Column:
-    return F.translate(text, "&#@$%^*()<>?!+-", "")
+    return F.regexp_replace(text, "[&#@$%^*()<>?!+-]+", "")
 
 
 def strip_emoji(text: Column) -> Column:
-    return F.regexp_replace(text, EMOJI_CLASS, "")
+    # The outer range turns most characters away with one comparison.
+    return F.regexp_replace(text, f"[\\x{{200D}}-\\x{{10FFFF}}&&[{EMOJI_RANGES}]]", "")
 
 
 def strip_punctuation(text: Column) -> Column:
     """Delete ASCII punctuation, lower the case, turn the remaining dashes into blanks."""
-    return F.translate(F.lower(F.translate(text, ASCII_PUNCTUATION, "")), "–—", "  ")
+    bare = F.lower(F.regexp_replace(text, "[!-/:-@\\[-`{-~]+", ""))
+    return F.regexp_replace(bare, "[–—]", " ")
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -99,42 +103,42 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}_]{2,}"), F.lit(0))
 
 
-def _map_tokens(tokens: Column, table: dict[str, str]) -> Column:
+def _looked_up(token: Column, table: dict[str, str]) -> Column:
+    """The token's entry in a word table, else the token."""
     if not table:
-        return tokens
+        return token
     literal = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
-    keys = list(table)
-    return F.transform(
-        tokens,
-        lambda token: F.when(token.isin(keys), F.element_at(literal, token)).otherwise(token),
-    )
+    # The hash-set test comes first: a map is searched entry by entry.
+    return F.when(token.isin(list(table)), F.element_at(literal, token)).otherwise(token)
 
 
 def expand_centuries(text: Column, lexicon: Lexicon) -> Column:
-    return F.array_join(_map_tokens(whitespace_tokens(F.lower(text)), lexicon.centuries), " ")
+    tokens = whitespace_tokens(F.lower(text))
+    return F.array_join(
+        F.transform(tokens, lambda token: _looked_up(token, lexicon.centuries)), " "
+    )
 
 
 def unify_word_forms(text: Column, lexicon: Lexicon) -> Column:
     """Whole-word replacement, one pattern per written form.
 
-    Every default form is Cyrillic, so texts without a character of the forms' alphabet skip
-    the patterns altogether.
+    Text without any first letter of the forms skips the patterns.  `text` is repeated in the
+    expression, so pass a column or a lambda variable.
     """
     if not lexicon.word_forms:
         return text
     out = text
-    initials = set()
     for written, forms in lexicon.word_forms.items():
-        longest_first = sorted(forms, key=len, reverse=True)
-        initials.update(form[0] for form in forms)
-        body = "|".join(re.escape(form) for form in longest_first)
+        body = "|".join(re.escape(form) for form in sorted(forms, key=len, reverse=True))
         out = F.regexp_replace(out, f"(?U)\\b(?:{body})\\b", written.replace("$", "\\$"))
-    any_initial = "[" + "".join(re.escape(c) for c in sorted(initials)) + "]"
+    initials = sorted({form[0] for forms in lexicon.word_forms.values() for form in forms})
+    any_initial = "[" + "".join(re.escape(letter) for letter in initials) + "]"
     return F.when(text.rlike(any_initial), out).otherwise(text)
 
 
 def number_words_to_digits(text: Column, lexicon: Lexicon) -> Column:
-    return F.array_join(_map_tokens(whitespace_tokens(text), lexicon.numbers), " ")
+    tokens = whitespace_tokens(text)
+    return F.array_join(F.transform(tokens, lambda token: _looked_up(token, lexicon.numbers)), " ")
 
 
 def drop_stop_words(tokens: Column, lexicon: Lexicon) -> Column:
@@ -147,7 +151,11 @@ def drop_stop_words(tokens: Column, lexicon: Lexicon) -> Column:
 def clean_for_embedding(
     text: Column, lexicon: Lexicon | None = None, compose: bool = False
 ) -> Column:
-    """The full cleaning chain; the step order is part of the result."""
+    """The full cleaning chain; the step order is part of the result.
+
+    Word forms hold no blanks, so they are unified token by token: inside the lambda a token
+    is a variable, and no step's text is computed twice.
+    """
     lexicon = lexicon or Lexicon()
     out = fix_encoding(text, compose)
     out = strip_html_tags(out)
@@ -155,12 +163,53 @@ def clean_for_embedding(
     out = strip_special_characters(out)
     out = strip_emoji(out)
     out = strip_punctuation(out)
-    tokens = _map_tokens(whitespace_tokens(out), lexicon.centuries)
-    out = unify_word_forms(F.array_join(tokens, " "), lexicon)
-    tokens = _map_tokens(whitespace_tokens(out), lexicon.numbers)
+    tokens = F.transform(
+        whitespace_tokens(out), lambda token: _looked_up(token, lexicon.centuries)
+    )
+    tokens = F.transform(tokens, lambda token: unify_word_forms(token, lexicon))
+    tokens = F.transform(
+        whitespace_tokens(F.array_join(tokens, " ")),
+        lambda token: _looked_up(token, lexicon.numbers),
+    )
     return F.array_join(drop_stop_words(tokens, lexicon), " ")
 
 
+def lemmatize(
+    chunks: DataFrame, lemmas: DataFrame, column: str = "clean", key: str = "chunk_id"
+) -> DataFrame:
+    """Replace each token by its `lemma` from a `token, lemma` table; others stay.
+
+    The table is broadcast when it fits, else hot tokens are joined apart from the rest.
+    """
+    tokens = chunks.select(
+        key, F.posexplode(whitespace_tokens(F.col(column))).alias("_at", "token")
+    )
+    found = attach(tokens, lemmas.select("token", "lemma"), "token")
+    words = F.array_sort(
+        F.collect_list(F.struct("_at", F.coalesce("lemma", "token").alias("word")))
+    )
+    joined = found.groupBy(key).agg(
+        F.array_join(F.transform(words, lambda word: word["word"]), " ").alias("_lemmas")
+    )
+    return (
+        chunks.join(joined, key, "left")
+        .withColumn(column, F.coalesce("_lemmas", F.lit("")))
+        .drop("_lemmas")
+    )
+
+
+def clean_for_ranking(
+    chunks: DataFrame,
+    lemmas: DataFrame,
+    lexicon: Lexicon | None = None,
+    column: str = "content",
+    key: str = "chunk_id",
+) -> DataFrame:
+    """Add `clean`: the cleaning chain, then lemmas."""
+    cleaned = chunks.withColumn("clean", clean_for_embedding(F.col(column), lexicon))
+    return lemmatize(cleaned, lemmas, "clean", key)
+
+
 def character_length(text: Column) -> Column:
     return F.length(text)
 

@@ -35,7 +35,7 @@ def _map_tokens_sql(toks: str, table_: dict[str, str]) -> str:
     return f"list_transform({toks}, lambda t: coalesce(MAP {{{entries}}}[t], t))"
 
 
-EMOJI_SQL = tx.EMOJI_CLASS
+EMOJI_SQL = f"[{tx.EMOJI_RANGES}]"
 SPECIAL = "&#@$%^*()<>?!+-"
 
 

@@ -56,13 +56,18 @@ KINDS = {
 }
 
 
+LAST = {"spark": 0.0}
+
+
 def differences(spark_df, con, sql: str) -> list[str]:
     """Empty when both sides agree in columns, types and rows."""
+    found_rows = [tuple(r) for r in spark_df.collect()]
+    LAST["spark"] = time.time()
     cursor = con.execute(sql)
     columns = [d[0] for d in cursor.description]
     kinds = {d[0]: str(d[1]) for d in cursor.description}
     expected = normal(_rows(cursor.fetchall(), columns))
-    found = normal(_rows([tuple(r) for r in spark_df.collect()], spark_df.columns))
+    found = normal(_rows(found_rows, spark_df.columns))
     problems = []
     if list(expected.columns) != list(found.columns):
         return [f"columns {list(found.columns)} != {list(expected.columns)}"]
@@ -97,10 +102,11 @@ def main() -> None:
                 verdict = "ok" if not problems else "DIFF " + "\n     ".join(problems)
             else:
                 rows = df.collect()
+                LAST["spark"] = time.time()
                 verdict = f"rows only: {len(rows)} {str(rows[:1])[:200]}"
         except Exception as error:  # noqa: BLE001
             verdict = f"ERROR {type(error).__name__}: {str(error)[:1500]}"
-        print(f"{time.time() - start:6.1f}s {name}: {verdict}", flush=True)
+        print(f"{LAST['spark'] - start:6.1f}s {time.time() - LAST['spark']:6.1f}s {name}: {verdict}", flush=True)
 
 
 if __name__ == "__main__":
