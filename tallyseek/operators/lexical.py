@@ -46,8 +46,8 @@ def indexable(chunks: DataFrame) -> DataFrame:
 
 
 def tokenized(chunks: DataFrame, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
-    """`chunk_id, dl, tokens`, partitioned by `chunk_id`."""
-    placed = indexable(chunks).select("chunk_id", "content").repartition("chunk_id")
+    """`chunk_id, dl, tokens`, partitioned by `chunk_id`; texts without tokens give no posting."""
+    placed = chunks.select("chunk_id", "content").repartition("chunk_id")
     tokens = tokenizer(F.col("content"))
     return placed.select("chunk_id", F.size(tokens).alias("dl"), tokens.alias("tokens"))
 
@@ -67,8 +67,10 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 def corpus_size(chunks: DataFrame, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
     """One row: `n` chunks and their average token count `avgdl`."""
-    return indexable(chunks).agg(
-        F.count("*").alias("n"), F.avg(F.size(tokenizer(F.col("content")))).alias("avgdl")
+    # Empty texts hold no tokens, so only the count has to leave them out.
+    texts = F.count_if(F.col("content") != "")
+    return chunks.filter(F.col("content").isNotNull()).agg(
+        texts.alias("n"), (F.sum(F.size(tokenizer(F.col("content")))) / texts).alias("avgdl")
     )
 
 
