@@ -67,11 +67,11 @@ def with_group_position(
     starts = pieces.select(
         "_part", *group, "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
     )
-    same_group = [placed[c].eqNullSafe(starts[c]) for c in group]
-    condition = placed["_part"] == starts["_part"]
-    for same in same_group:
-        condition = condition & same
-    return placed.join(starts, condition).select(
-        *[placed[c] for c in df.columns],
-        (F.col("_start") + placed["_place"] - F.col("_first")).alias(name),
+    renamed = starts.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(group)})
+    renamed = renamed.withColumnRenamed("_part", "_p")
+    condition = F.col("_part") == F.col("_p")
+    for i, c in enumerate(group):
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return placed.join(renamed, condition).select(
+        *df.columns, (F.col("_start") + F.col("_place") - F.col("_first")).alias(name)
     )

@@ -1,0 +1,102 @@
+"""Model training and scoring queries over the retail facts.
+
+Boosting rounds are few here; the presets in `MODELS` keep the full counts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyseek.operators.forecasting import horizon_split, rows_to_table
+from tallyseek.operators.sizing import run_folder
+from tallyseek.plans.facts import FACT_ORDER, retail_facts, table
+from tallyseek.plans.forecast import (
+    forecast_rows,
+    predict,
+    predict_test,
+    run_record,
+    train,
+)
+from tallyseek.plans.registry import query
+from tallyseek.sources.tables import read_predictions, write_predictions
+
+LAST_TRAIN_YEAR = 1999
+
+
+def _trained(spark, folder, name, points=None, noise=0.1, folds=5):
+    train_facts, test_facts = horizon_split(retail_facts(spark, folder), LAST_TRAIN_YEAR)
+    return train(name, train_facts, test_facts, FACT_ORDER, noise=noise, points=points, folds=folds)
+
+
+@query("linear_forecast")
+def linear_forecast(spark, folder):
+    return run_record(spark, _trained(spark, folder, "LinearRegression", noise=0.0))
+
+
+@query("tree_forecast")
+def tree_forecast(spark, folder):
+    return run_record(spark, _trained(spark, folder, "decision_tree"))
+
+
+@query("gbt_forecast_a")
+def gbt_forecast_a(spark, folder):
+    points = [{"rounds": 3, "rate": 0.04, "depth": 7, "l2": 5}]
+    return run_record(spark, _trained(spark, folder, "CatBoost", points, folds=2))
+
+
+@query("gbt_forecast_b")
+def gbt_forecast_b(spark, folder):
+    points = [{"rounds": 5, "rate": 0.1, "depth": 4, "leaves": 15}]
+    return run_record(spark, _trained(spark, folder, "LightGBM", points, folds=2))
+
+
+@query("gbt_forecast_c")
+def gbt_forecast_c(spark, folder):
+    points = [{"rounds": 3, "rate": 0.15, "depth": 8}]
+    return run_record(spark, _trained(spark, folder, "XGBoost", points, folds=2))
+
+
+@query("model_leaderboard")
+def model_leaderboard(spark, folder):
+    """A grid of four trees over time folds, five rows spread over the sorted grid."""
+    points = [
+        {"max_depth": depth, "min_split": 16, "min_leaf": leaf}
+        for depth in (3, 5)
+        for leaf in (15, 200)
+    ]
+    trained = _trained(spark, folder, "DecisionTree", points, folds=2)
+    return rows_to_table(spark, trained.board)
+
+
+@query("stored_predictions")
+def stored_predictions(spark, folder):
+    """Test predictions of two models stored by model, one model read back."""
+    _, test_facts = horizon_split(retail_facts(spark, folder), LAST_TRAIN_YEAR)
+    path = run_folder(spark, "predictions")
+    for name, points in (
+        ("LinearRegression", None),
+        ("DecisionTree", [{"max_depth": 5, "min_split": 16, "min_leaf": 15}]),
+    ):
+        write_predictions(predict_test(_trained(spark, folder, name, points, folds=2), test_facts), path)
+    return read_predictions(spark, path, "DecisionTree").agg(
+        F.count("*").alias("rows"),
+        F.round(F.avg("Predicted_Purchase_Quantity"), 4).alias("mean_prediction"),
+    )
+
+
+@query("event_day_forecast")
+def event_day_forecast(spark, folder):
+    """Quantities of the ten products for every order day of the last year, event given."""
+    trained = _trained(spark, folder, "LinearRegression", noise=0.0, folds=2)
+    orders = table(spark, folder, "orders").withColumn("Date", F.to_date("o_orderdate"))
+    daily = orders.groupBy("Date").agg(
+        F.count("*").cast("int").alias("Num_Customers"), F.sum("o_totalprice").alias("Sales")
+    )
+    last = daily.agg(F.max(F.year("Date"))).scalar()
+    days = daily.filter(F.year("Date") == last).withColumns(
+        {"Event": F.lit("Holiday"), "Stocks": F.lit(12), "Weather": F.lit("Cloudy")}
+    )
+    return predict(trained, forecast_rows(days)).select(
+        "Date", "Product", "Unit_Price", "Days_Until_Next_Purchase",
+        F.round("Predict_Quantity", 4).alias("Predict_Quantity"), "model",
+    )

@@ -355,9 +355,9 @@ def feature_noise(spark, folder):
 @query(
     "time_series_folds",
     """WITH p AS (SELECT o_orderkey, o_orderdate,
-  row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS at, count(*) OVER () AS n FROM orders)
-SELECT o_orderkey, CAST(CASE WHEN at < n - 5 * (n // 6) THEN 0
-  ELSE (at - (n - 5 * (n // 6))) // (n // 6) + 1 END AS INTEGER) AS segment FROM p""",
+  row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CAST(CASE WHEN place < n - 5 * (n // 6) THEN 0
+  ELSE (place - (n - 5 * (n // 6))) // (n // 6) + 1 END AS INTEGER) AS segment FROM p""",
 )
 def time_series_folds(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderdate", "o_orderkey")

@@ -1,0 +1,314 @@
+"""Source, sink, catalog and streaming queries.
+
+Sinks write into a new folder next to the session's checkpoints and are read back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyseek.functions.text import clean_for_ranking, strip_punctuation, whitespace_tokens
+from tallyseek.operators import lexical as lx
+from tallyseek.operators.chunking import chunk_texts
+from tallyseek.operators.sizing import run_folder
+from tallyseek.plans.facts import corpus, questions, table
+from tallyseek.plans.queries_retrieval import plain_corpus, plain_questions, rounded
+from tallyseek.plans.registry import query
+from tallyseek.plans.sqltext import bm25_ctes, plain, quoted, ranked, tokens
+from tallyseek.sources import readers as rd
+from tallyseek.sources import tables as tb
+from tallyseek.streaming.ingest import read_ingested, start_ingest
+from tallyseek.streaming.questions import start_answers
+
+
+@query(
+    "csv_round_trip",
+    """SELECT doc_id::VARCHAR AS chunk_id, CAST(length(text) AS INTEGER) AS characters,
+  md5(text) AS digest FROM documents""",
+)
+def csv_round_trip(spark, folder):
+    """Chunk CSV written and read back: quotes, blanks and line ends survive."""
+    path = run_folder(spark, "chunks-csv")
+    tb.write_chunk_csv(corpus(spark, folder), path)
+    schema = T.StructType(
+        [T.StructField("chunk_id", T.StringType()), T.StructField("content", T.StringType())]
+    )
+    return rd.read_csv(spark, path, schema).select(
+        "chunk_id", F.length("content").alias("characters"), F.md5("content").alias("digest")
+    )
+
+
+@query(
+    "json_corpus",
+    """SELECT source || '-' || doc_id AS doc_id, CAST(length(text) AS INTEGER) AS characters,
+  md5(text) AS digest FROM documents""",
+)
+def json_corpus(spark, folder):
+    """Documents as one `{id: text}` object per source, written as files and read back."""
+    path = run_folder(spark, "corpus-json")
+    docs = corpus(spark, folder).select(
+        "source", F.concat_ws("-", "source", "chunk_id").alias("key"), "content"
+    )
+    # An object is one JSON text, so it is cut at 200 documents, also for a large source.
+    slices = docs.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(max(1, docs.count() // 200))))
+    objects = slices.groupBy("slice").agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "content")))).alias("value")
+    )
+    objects.repartition("slice").select("value").write.text(path)
+    return rd.read_corpus_json(spark, path, whole_files=False).select(
+        "doc_id", F.length("content").alias("characters"), F.md5("content").alias("digest")
+    )
+
+
+@query(
+    "text_files",
+    "SELECT CAST(length(html) AS INTEGER) AS characters, md5(html) AS digest FROM pages",
+)
+def text_files(spark, folder):
+    """Pages written to text files of some 200 pages each, read whole and taken apart."""
+    path = run_folder(spark, "pages-text")
+    pages = table(spark, folder, "pages").select(F.col("html").alias("value"))
+    files = max(1, pages.count() // 200)
+    pages.repartition(files).write.option("lineSep", "\u0001").text(path)
+    parts = F.explode(F.split("content", "\u0001")).alias("html")
+    found = rd.read_texts(spark, path).select(parts).filter(F.col("html") != "")
+    return found.select(F.length("html").alias("characters"), F.md5("html").alias("digest"))
+
+
+@query(
+    "row_to_text",
+    """SELECT p_partkey, 'p_partkey = ' || p_partkey || ', p_name = ' || p_name || ', p_brand = '
+  || p_brand || ', p_type = ' || coalesce(nullif(p_type, 'ECONOMY'), 'nan') || ', p_size = '
+  || p_size AS content FROM part""",
+)
+def row_to_text(spark, folder):
+    """Parts as `name = value` text; one type plays the missing value."""
+    parts = table(spark, folder, "part").withColumn("p_type", F.nullif("p_type", F.lit("ECONOMY")))
+    columns = ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]
+    return rd.rows_to_text(parts, columns).select("p_partkey", "content")
+
+
+LINE_ORDER = [
+    "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
+]
+
+
+@query(
+    "unique_ids",
+    f"""SELECT CASE WHEN i > 0 THEN id || '_' || i ELSE id END AS id, l_partkey, l_suppkey,
+  l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY id
+  ORDER BY {", ".join(LINE_ORDER)}) - 1 AS i
+  FROM (SELECT *, l_orderkey || '-' || l_linenumber AS id FROM lineitem))""",
+)
+def unique_ids(spark, folder):
+    """Line items share `order-line` ids; repeats get a suffix."""
+    lines = table(spark, folder, "lineitem").withColumn(
+        "id", F.concat_ws("-", "l_orderkey", "l_linenumber")
+    )
+    repaired = tb.repair_ids(lines, "id", LINE_ORDER)
+    return repaired.select("id", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@query(
+    "hot_ids",
+    f"""SELECT CASE WHEN i > 0 THEN id || '_' || i ELSE id END AS id, l_orderkey, l_linenumber,
+  l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY id
+  ORDER BY l_orderkey, l_linenumber, {", ".join(LINE_ORDER)}) - 1 AS i
+  FROM (SELECT *, l_returnflag AS id FROM lineitem))""",
+)
+def hot_ids(spark, folder):
+    """Three ids hold all rows: numbering spreads over the range partitions."""
+    lines = table(spark, folder, "lineitem").withColumn("id", F.col("l_returnflag"))
+    repaired = tb.repair_ids(lines, "id", ["l_orderkey", "l_linenumber", *LINE_ORDER])
+    return repaired.select("id", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(
+    "union_sources",
+    """SELECT id, source, CAST(length(text) AS INTEGER) AS characters FROM (
+  SELECT doc_id::VARCHAR AS id, source, text FROM documents
+  UNION ALL SELECT page_id::VARCHAR, 'pages', html FROM pages
+  UNION ALL SELECT conv_id || '-' || turn, 'conversations', text FROM conversations)""",
+)
+def union_sources(spark, folder):
+    parts = [
+        corpus(spark, folder).select(F.col("chunk_id").cast("string").alias("id"), "source", "content"),
+        table(spark, folder, "pages").select(
+            F.col("page_id").cast("string").alias("id"), F.lit("pages").alias("source"),
+            F.col("html").alias("content"),
+        ),
+        table(spark, folder, "conversations").select(
+            F.concat_ws("-", "conv_id", "turn").alias("id"),
+            F.lit("conversations").alias("source"), F.col("text").alias("content"),
+        ),
+    ]
+    combined = tb.combine_sources(parts)
+    return combined.select("id", "source", F.length("content").alias("characters"))
+
+
+@query(
+    "list_sources",
+    "SELECT source, count(*) AS chunks FROM documents GROUP BY source",
+)
+def list_sources(spark, folder):
+    return tb.list_sources(corpus(spark, folder))
+
+
+@query(
+    "delete_source",
+    "SELECT source, count(*) AS chunks FROM documents WHERE source <> 'src3' GROUP BY source",
+)
+def delete_source(spark, folder):
+    """Chunks stored by source, one source dropped, the rest listed."""
+    path = run_folder(spark, "chunks")
+    tb.write_chunks(corpus(spark, folder), path)
+    return tb.list_sources(tb.delete_source(spark.read.parquet(path), "src3"))
+
+
+@query(
+    "reindex_after_delete",
+    f"""WITH d AS (SELECT doc_id, {tokens(plain("text"))} AS tk FROM documents
+  WHERE source <> 'src3' AND {plain("text")} <> '')
+SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(tk) AS term FROM d)
+GROUP BY term""",
+)
+def reindex_after_delete(spark, folder):
+    """The stored term table after a source is gone."""
+    left = tb.delete_source(plain_corpus(spark, folder), "src3")
+    return tb.reindex(left, run_folder(spark, "index")).terms
+
+
+@query(
+    "stored_index_top3",
+    f"""WITH {bm25_ctes()} SELECT query_id, chunk_id, round(score, 6) AS score,
+  CAST(rank AS INTEGER) AS rank FROM ({ranked("bm_all", 3)})""",
+)
+def stored_index_top3(spark, folder):
+    """Index written to Parquet, loaded again, and asked."""
+    path = run_folder(spark, "index")
+    tb.reindex(plain_corpus(spark, folder), path)
+    index = tb.read_index(spark, path)
+    return rounded(lx.bm25_top_k(None, plain_questions(spark, folder), 3, index=index))
+
+
+@query(
+    "embedding_store",
+    """SELECT vec_id::VARCHAR AS chunk_id, CAST(len(embedding) AS INTEGER) AS dimensions,
+  round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings""",
+)
+def embedding_store(spark, folder):
+    """Embeddings through the tab-separated form and back."""
+    path = run_folder(spark, "embeddings-tsv")
+    vectors = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    tb.write_embeddings_tsv(vectors, path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return tb.read_embeddings_tsv(spark, path).select(
+        "chunk_id", F.size("embedding").alias("dimensions"), F.round(total, 6).alias("total")
+    )
+
+
+@query(
+    "result_tables",
+    f"""WITH {bm25_ctes()} SELECT item_id AS query_id, text AS question,
+  string_agg(chunk_id::VARCHAR, ' ' ORDER BY rank) AS doc_id
+FROM ({ranked("bm_all", 3)}) JOIN benchmark ON item_id = query_id GROUP BY ALL""",
+)
+def result_tables(spark, folder):
+    """One row per question with its best ids joined by blanks."""
+    ranking = lx.bm25_top_k(plain_corpus(spark, folder), plain_questions(spark, folder), 3)
+    return tb.result_table(ranking, questions(spark, folder))
+
+
+@query(
+    "chunk_counts",
+)
+def chunk_counts(spark, folder):
+    """Pages without markup, chunked; chunks and longest chunk per page."""
+    texts = table(spark, folder, "pages").select(
+        F.col("page_id").cast("string").alias("source"), F.col("html").alias("content")
+    )
+    return chunk_texts(texts).groupBy("source").agg(
+        F.count("*").alias("chunks"), F.max(F.length("content")).alias("longest")
+    )
+
+
+LEMMAS = {"the": "the-lemma", "and": "and-lemma", "der": "der-lemma", "les": "les-lemma"}
+
+
+@query(
+    "lemmatized",
+    f"""SELECT doc_id AS chunk_id, array_to_string(list_transform({tokens(plain("text"))},
+  lambda t: coalesce(MAP {{{", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in LEMMAS.items())}}}[t],
+  t)), ' ') AS clean FROM documents""",
+)
+def lemmatized(spark, folder):
+    """Tokens replaced from a lemma table that is derived from the corpus' own words."""
+    from tallyseek.functions.text import lemmatize
+
+    docs = corpus(spark, folder).select(
+        "chunk_id", strip_punctuation(F.col("content")).alias("clean")
+    )
+    words = docs.select(F.explode(whitespace_tokens(F.col("clean"))).alias("token")).distinct()
+    lemmas = words.filter(F.col("token").isin(list(LEMMAS))).withColumn(
+        "lemma", F.concat_ws("-", "token", F.lit("lemma"))
+    )
+    return lemmatize(docs, lemmas)
+
+
+@query("cleaned_for_ranking")
+def cleaned_for_ranking(spark, folder):
+    """The cleaning chain plus lemmas over every conversation turn."""
+    turns = table(spark, folder, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("text").alias("content")
+    )
+    lemmas = turns.select(F.explode(F.split(F.lower("content"), " ")).alias("token")).distinct()
+    lemmas = lemmas.filter(F.length("token") > 8).withColumn("lemma", F.substring("token", 1, 8))
+    return clean_for_ranking(turns, lemmas).select("chunk_id", "clean")
+
+
+@query(
+    "stream_ingest",
+    f"""SELECT count(*) AS documents FROM documents WHERE trim({plain("text")}) <> ''""",
+)
+def stream_ingest(spark, folder):
+    """Documents arriving as a file stream become chunks; how many documents got chunks."""
+    path = run_folder(spark, "ingest")
+    schema = table(spark, folder, "documents").schema
+    texts = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "documents.parquet")
+        .parquet(folder)
+        .select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("content"))
+    )
+    start_ingest(texts, path).awaitTermination()
+    chunks, _ = read_ingested(spark, path)
+    usable = chunks.filter(F.trim("clean") != "")
+    return usable.agg(F.count_distinct("source").alias("documents"))
+
+
+@query(
+    "stream_answers",
+    f"""WITH {bm25_ctes()} SELECT query_id, chunk_id, round(score, 6) AS score,
+  CAST(rank AS INTEGER) AS rank FROM ({ranked("bm_all", 3)})""",
+)
+def stream_answers(spark, folder):
+    """Questions arriving as a file stream, answered from a stored index."""
+    path = run_folder(spark, "answers")
+    tb.reindex(plain_corpus(spark, folder), f"{path}/index")
+    schema = table(spark, folder, "benchmark").schema
+    asked = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "benchmark.parquet")
+        .parquet(folder)
+        .select(
+            F.col("item_id").alias("query_id"),
+            strip_punctuation(F.col("text")).alias("question"),
+        )
+    )
+
+    def answer(batch):
+        return lx.bm25_top_k(None, batch, 3, index=tb.read_index(spark, f"{path}/index"))
+
+    start_answers(asked, answer, path).awaitTermination()
+    return rounded(spark.read.parquet(f"{path}/answers"))

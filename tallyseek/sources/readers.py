@@ -65,19 +65,19 @@ def read_retail(spark: SparkSession, path) -> DataFrame:
     return facts.withColumn("Event", F.nullif("Event", F.lit("None")))
 
 
-def read_corpus_json(spark: SparkSession, path) -> DataFrame:
-    """One object `{id: text}` per file as `doc_id, content`."""
-    whole = spark.read.text(path, wholetext=True)
+def read_corpus_json(spark: SparkSession, path, whole_files: bool = True) -> DataFrame:
+    """Objects `{id: text}` as `doc_id, content`: one per file, or one per line."""
+    objects = spark.read.text(path, wholetext=whole_files)
     entries = F.from_json("value", "map<string,string>")
-    return whole.select(F.explode(entries).alias("doc_id", "content"))
+    return objects.select(F.explode(entries).alias("doc_id", "content"))
 
 
 def read_texts(spark: SparkSession, path, skip_unreadable: bool = False) -> DataFrame:
     """`source, content`: one row per file; optionally skip files that cannot be read."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if skip_unreadable:
         reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    return reader.text(path).select(
+    return reader.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("source"), F.col("value").alias("content")
     )
 

@@ -101,14 +101,17 @@ def repair_ids(chunks: DataFrame, key: str = "chunk_id", order=("source", "pos")
     """
     keys = [key, *order]
     numbered = with_group_position(chunks.select(*keys), [key], list(order), "_repeat")
-    repeats = numbered.filter(F.col("_repeat") > 0)
-    on = reduce(lambda a, b: a & b, [chunks[c].eqNullSafe(repeats[c]) for c in keys])
-    renamed = F.when(
-        F.col("_repeat").isNotNull(),
-        F.concat_ws("_", chunks[key].cast("string"), F.col("_repeat").cast("string")),
-    ).otherwise(chunks[key].cast("string"))
-    return chunks.join(repeats, on, "left").select(
-        *[renamed.alias(c) if c == key else chunks[c] for c in chunks.columns]
+    names = {c: f"_k{i}" for i, c in enumerate(keys)}
+    repeats = numbered.filter(F.col("_repeat") > 0).withColumnsRenamed(names)
+    same_row = reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(name)) for c, name in names.items()]
+    )
+    # A missing repeat number is skipped by the join, so first rows keep their id.
+    repaired = F.concat_ws("_", F.col(key).cast("string"), F.col("_repeat").cast("string"))
+    return (
+        chunks.join(repeats, same_row, "left")
+        .withColumn(key, repaired)
+        .select(*chunks.columns)
     )
 
 
