@@ -25,6 +25,9 @@ from tallyseek.operators.sizing import (
 
 Tokenizer = Callable[[Column], Column]
 
+# The term of a chunk's own row; tokens are never empty.
+CHUNK_ROW = ""
+
 
 @dataclass(frozen=True)
 class Bm25Params:
@@ -38,26 +41,35 @@ SERVICE_PARAMS = Bm25Params()
 BATCH_PARAMS = Bm25Params(delta=0.5)
 
 
-def indexable(chunks: DataFrame) -> DataFrame:
-    """Chunks with text; a missing `content` column or an empty table is an error."""
+def term_rows(
+    chunks: DataFrame,
+    tokenizer: Tokenizer = whitespace_tokens,
+    vocabulary: DataFrame | None = None,
+) -> DataFrame:
+    """`chunk_id, term, dl, tf`, partitioned by `chunk_id`: all an index is made of.
+
+    Besides its terms every chunk with text has one row of its own, under the empty term, so
+    sizes and lengths need no second look at the texts.  With a (broadcastable) vocabulary
+    only its terms are kept.  Chunks without text have no row.
+    """
     if "content" not in chunks.columns:
         raise ValueError("the chunk table has no 'content' column")
-    return chunks.filter(F.col("content").isNotNull() & (F.col("content") != ""))
-
-
-def tokenized(chunks: DataFrame, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
-    """`chunk_id, dl, tokens`, partitioned by `chunk_id`; texts without tokens give no posting."""
     placed = chunks.select("chunk_id", "content").repartition("chunk_id")
     tokens = tokenizer(F.col("content"))
-    return placed.select("chunk_id", F.size(tokens).alias("dl"), tokens.alias("tokens"))
-
-
-def count_terms(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Postings `chunk_id, term, tf, dl`; only terms of a (broadcastable) vocabulary if given."""
-    exploded = docs.select("chunk_id", "dl", F.explode("tokens").alias("term"))
-    if vocabulary is not None:
-        exploded = exploded.join(F.broadcast(vocabulary), "term", "left_semi")
-    return exploded.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    own = F.when(F.col("content") != "", F.array(F.lit(CHUNK_ROW))).otherwise(
+        F.array().cast("array<string>")
+    )
+    # The outer form keeps the tokens from being computed again for a null check.
+    exploded = placed.select(
+        "chunk_id", F.size(tokens).alias("dl"), F.concat(tokens, own).alias("tokens")
+    ).select("chunk_id", "dl", F.explode_outer("tokens").alias("term"))
+    if vocabulary is None:
+        kept = exploded.filter(F.col("term").isNotNull())
+    else:
+        own_term = vocabulary.sparkSession.range(1).select(F.lit(CHUNK_ROW).alias("term"))
+        wanted = vocabulary.select("term").unionByName(own_term)
+        kept = exploded.join(F.broadcast(wanted), "term", "left_semi")
+    return kept.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -65,15 +77,6 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus_size(chunks: DataFrame, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
-    """One row: `n` chunks and their average token count `avgdl`."""
-    # Empty texts hold no tokens, so only the count has to leave them out.
-    texts = F.count_if(F.col("content") != "")
-    return chunks.filter(F.col("content").isNotNull()).agg(
-        texts.alias("n"), (F.sum(F.size(tokenizer(F.col("content")))) / texts).alias("avgdl")
-    )
-
-
 def query_terms(queries: DataFrame, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
     """`query_id, term, qtf`: repeated query tokens collapse to a count."""
     tokens = tokenizer(F.col("question"))
@@ -96,53 +99,44 @@ def smooth_idf(n: Column, df: Column) -> Column:
 class LexicalIndex:
     """The index tables of one corpus: build once, save, score many question tables."""
 
-    chunks: DataFrame  # chunk_id
-    postings: DataFrame  # chunk_id, term, tf, dl
+    chunks: DataFrame  # chunk_id, dl
+    postings: DataFrame  # chunk_id, term, dl, tf
     terms: DataFrame  # term, df
     corpus: DataFrame  # n, avgdl
 
 
-def build_index(chunks: DataFrame, tokenizer: Tokenizer = whitespace_tokens) -> LexicalIndex:
-    """Index tables over the whole vocabulary."""
-    postings = count_terms(tokenized(chunks, tokenizer))
-    return LexicalIndex(
-        indexable(chunks).select("chunk_id"),
-        postings,
-        document_frequency(postings),
-        corpus_size(chunks, tokenizer),
-    )
-
+def index_of(rows: DataFrame) -> LexicalIndex:
+    """Index tables as views of `term_rows`."""
+    chunks = rows.filter(F.col("term") == CHUNK_ROW).select("chunk_id", "dl")
+    postings = rows.filter(F.col("term") != CHUNK_ROW)
+    corpus = chunks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return LexicalIndex(chunks, postings, document_frequency(postings), corpus)
 
-def build_index_for(
-    chunks: DataFrame, asked: DataFrame, tokenizer: Tokenizer = whitespace_tokens
-) -> LexicalIndex:
-    """Index tables for the asked terms only: enough for BM25+, and far smaller.
 
-    Falls back to the whole vocabulary when the question side is too large to broadcast.
-    """
-    vocabulary = asked.select("term").distinct()
-    if not fits(vocabulary):
-        return build_index(chunks, tokenizer)
-    postings = count_terms(tokenized(chunks, tokenizer), vocabulary)
-    return LexicalIndex(
-        indexable(chunks).select("chunk_id"),
-        postings,
-        document_frequency(postings),
-        corpus_size(chunks, tokenizer),
-    )
+def build_index(chunks: DataFrame, tokenizer: Tokenizer = whitespace_tokens) -> LexicalIndex:
+    """Index tables over the whole vocabulary, computed when used."""
+    return index_of(term_rows(chunks, tokenizer))
 
 
-def stored(index: LexicalIndex) -> LexicalIndex:
-    """Compute the postings, term and corpus tables once; every later step reads them back.
+def store_index(
+    chunks: DataFrame, tokenizer: Tokenizer = whitespace_tokens, asked: DataFrame | None = None
+) -> LexicalIndex:
+    """Index tables computed once: the texts are read and cut into terms a single time.
 
-    Reading back loses the partitioning, so the (narrow) postings are placed again.
+    With `asked` query terms that fit a broadcast only their postings are kept, which is all
+    that BM25+ needs.  Reading the rows back loses their partitioning, so the (narrow)
+    postings are placed again.
     """
-    postings = materialize(index.postings)
+    vocabulary = None
+    if asked is not None:
+        distinct = asked.select("term").distinct()
+        vocabulary = distinct if fits(distinct) else None
+    index = index_of(materialize(term_rows(chunks, tokenizer, vocabulary)))
     return LexicalIndex(
         index.chunks,
-        postings.repartition("chunk_id"),
-        materialize(document_frequency(postings)),
-        materialize(index.corpus),
+        index.postings.repartition("chunk_id"),
+        materialize(index.terms),
+        index.corpus,
     )
 
 
@@ -253,7 +247,7 @@ def bm25_top_k(
 ) -> DataFrame:
     """`query_id, chunk_id, score, rank` of the k best chunks per question."""
     asked = query_terms(queries)
-    index = index or stored(build_index_for(chunks, asked))
+    index = index or store_index(chunks, asked=asked)
     weighted = bm25_query_weights(index, asked)
     gains = bm25_gains(index, weighted, params, broadcast_rows)
     ranked = rank_with_unmatched(gains, queries, index.chunks, k)
@@ -330,7 +324,7 @@ def tfidf_top_k(
 ) -> DataFrame:
     """`query_id, chunk_id, score, rank` by cosine of TF-IDF vectors."""
     asked = query_terms(queries, word_tokens)
-    index = index or stored(build_index(chunks, word_tokens))
+    index = index or store_index(chunks, word_tokens)
     scores = tfidf_scores(index, asked, broadcast_rows)
     ranked = rank_with_unmatched(scores, queries, index.chunks, k, "cosine")
     return ranked.select("query_id", "chunk_id", F.col("cosine").alias("score"), "rank")

@@ -60,7 +60,7 @@ def bm25_batch_top5(spark, folder):
 )
 def term_statistics(spark, folder):
     """Document frequency and both idf forms of the whole vocabulary."""
-    index = lx.build_index(plain_corpus(spark, folder))
+    index = lx.store_index(plain_corpus(spark, folder))
     n = index.corpus.select("n").scalar()
     return index.terms.select(
         "term",
@@ -75,7 +75,7 @@ def term_statistics(spark, folder):
     f"WITH {tfidf_ctes()} SELECT chunk_id, term, round(weight, 6) AS weight FROM tf_weight",
 )
 def tfidf_matrix(spark, folder):
-    index = lx.stored(lx.build_index(corpus(spark, folder), word_tokens))
+    index = lx.store_index(corpus(spark, folder), word_tokens)
     matrix = lx.tfidf_matrix(index)
     return matrix.select("chunk_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -231,8 +231,8 @@ def hybrid(spark, folder, k=5):
     asked = questions(spark, folder).withColumn("clean", strip_punctuation(F.col("question")))
     cleaned = asked.select("query_id", F.col("clean").alias("question"))
     return rt.hybrid_top_k(
-        lx.stored(lx.build_index_for(plain_docs, lx.query_terms(cleaned))),
-        lx.stored(lx.build_index(docs, word_tokens)),
+        lx.store_index(plain_docs, asked=lx.query_terms(cleaned)),
+        lx.store_index(docs, word_tokens),
         hashed_embedding(docs, "chunk_id", F.col("content")),
         asked,
         hashed_embedding(asked, "query_id", F.col("question")),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -10,13 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyseek.functions.text import whitespace_tokens
-from tallyseek.operators.lexical import LexicalIndex, build_index
+from tallyseek.operators.lexical import LexicalIndex, index_of, term_rows
 from tallyseek.operators.positions import with_group_position
 from tallyseek.operators.ranking import ranked_lists
 
-INDEX_TABLES = ("chunks", "postings", "terms", "corpus")
-
-
 def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per source, so reading or deleting a source touches only its files."""
     chunks.write.mode(mode).partitionBy("source").parquet(path)
@@ -61,32 +59,27 @@ def read_embeddings_tsv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_index(index: LexicalIndex, path: str) -> LexicalIndex:
-    """Write the index tables and return the index over the written files.
+def write_index(chunks: DataFrame, path: str, tokenizer=whitespace_tokens) -> LexicalIndex:
+    """Build and write the index; the term table is counted from the written rows.
 
-    The postings are written once and the term table is counted from the written files.
-    Files are clustered by term, so a reader that asks for few terms skips row groups.
+    Rows are sorted by term within each file, so a reader that asks for few terms skips row
+    groups.
     """
-    spark = index.postings.sparkSession
-    index.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-    postings = spark.read.parquet(f"{path}/postings")
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    terms.write.mode("overwrite").parquet(f"{path}/terms")
-    return read_index(spark, path)
+    rows = term_rows(chunks, tokenizer)
+    rows.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/rows")
+    written = index_of(chunks.sparkSession.read.parquet(f"{path}/rows"))
+    written.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    return read_index(chunks.sparkSession, path)
 
 
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:
     """Index over written tables; a missing table is an error."""
-    tables = {}
-    for name in INDEX_TABLES:
-        try:
-            tables[name] = spark.read.parquet(f"{path}/{name}")
-        except AnalysisException as missing:
-            raise FileNotFoundError(f"no index table '{name}' under {path}") from missing
-    tables["postings"] = tables["postings"].repartition("chunk_id")
-    return LexicalIndex(**tables)
+    try:
+        index = index_of(spark.read.parquet(f"{path}/rows"))
+        terms = spark.read.parquet(f"{path}/terms")
+    except AnalysisException as missing:
+        raise FileNotFoundError(f"no index under {path}") from missing
+    return replace(index, postings=index.postings.repartition("chunk_id"), terms=terms)
 
 
 def combine_sources(chunk_tables: list[DataFrame]) -> DataFrame:
@@ -128,7 +121,7 @@ def reindex(chunks: DataFrame, path: str, tokenizer=whitespace_tokens) -> Lexica
     """Rebuild all index tables; None when no chunk is left."""
     if not chunks.head(1):
         return None
-    return write_index(build_index(chunks, tokenizer), path)
+    return write_index(chunks, path, tokenizer)
 
 
 def read_or_build(
