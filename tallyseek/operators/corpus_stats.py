@@ -114,10 +114,11 @@ def with_multiplicative_noise(
     return df.withColumn(column, F.col(column) * (1 + share * keyed_normal(key, seed)))
 
 
-def keyed_normal(key: Column, seed: int) -> Column:
+def keyed_normal(key: Column, seed) -> Column:
     """A standard normal draw that is a function of key and seed."""
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
     scale = float(1 << 53)
-    first = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double")
-    second = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double")
+    first = F.shiftrightunsigned(F.xxhash64(key, seed), 11).cast("double")
+    second = F.shiftrightunsigned(F.xxhash64(seed, key), 11).cast("double")
     radius = F.sqrt(-2 * F.log((first + 1) / scale))
     return radius * F.cos(2 * 3.141592653589793 * second / scale)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,16 +141,59 @@ class Recipe:
     def from_json(text: str) -> "Recipe":
         return Recipe(**json.loads(text))
 
-    def transform(self, facts: DataFrame, unknown: str = "keep") -> DataFrame:
-        """Facts plus one scaled column per feature, named `x_…`."""
+    def values(self, unknown: str = "keep") -> Column:
+        """The scaled features of a fact row as one array, in the order of `columns`."""
         raw = encoded_columns(self.categories, self.with_event, unknown)
-        return facts.withColumns(
-            {
-                f"x_{c}": scaled(raw[c], F.lit(self.means[c]), F.lit(self.deviations[c]))
+        return F.array(
+            *[
+                scaled(raw[c], F.lit(self.means[c]), F.lit(self.deviations[c]))
                 for c in self.columns
-            }
+            ]
         )
 
+    def transform(
+        self,
+        facts: DataFrame,
+        unknown: str = "keep",
+        noise_key: Column | None = None,
+        level: float = 0.1,
+        seed: int = 42,
+    ) -> DataFrame:
+        """Facts plus the vector `features`, noisy when a row key is given."""
+        values = self.values(unknown)
+        if noise_key is not None:
+            facts = facts.withColumn("_noise_key", noise_key)
+            values = noisy(values, F.col("_noise_key"), level, seed)
+        return facts.withColumn("features", array_to_vector(values)).drop("_noise_key")
+
+
+def noisy(values: Column, key: Column, level: float = 0.1, seed: int = 42) -> Column:
+    """Add N(0, level) to every element; the draw depends on key, place and seed only.
+
+    Over wide arrays the column form (`keyed_normal` in a lambda) is interpreted element by
+    element and took ten times as long as these Arrow batches.
+    """
+
+    @F.pandas_udf("array<double>")
+    def add(arrays: pd.Series, keys: pd.Series) -> pd.Series:
+        matrix = np.stack(arrays.to_numpy()) if len(arrays) else np.zeros((0, 0))
+        places = np.arange(2 * matrix.shape[1], dtype="uint64") + np.uint64(2 * seed + 1)
+        mixed = _mix(_mix(keys.to_numpy().astype("uint64"))[:, None] + _mix(places)[None, :])
+        uniform = ((mixed >> np.uint64(11)).astype("float64") + 1) / 2.0**53
+        first, second = uniform[:, 0::2], uniform[:, 1::2]
+        draws = np.sqrt(-2 * np.log(first)) * np.cos(2 * np.pi * second)
+        return pd.Series(list(matrix + level * draws), index=arrays.index)
+
+    return add(values, key)
+
+
+def _mix(words: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser: spreads every input bit over the word."""
+    words = words + np.uint64(0x9E3779B97F4A7C15)
+    words = (words ^ (words >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    words = (words ^ (words >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return words ^ (words >> np.uint64(31))
+
 
 def encoded_columns(
     categories: dict[str, list[str]], with_event: bool, unknown: str
@@ -166,6 +211,12 @@ def encoded_columns(
     return out
 
 
+def fact_columns(with_event: bool) -> list[str]:
+    """The fact columns a recipe reads."""
+    event = ["Event"] if with_event else []
+    return ["Date", "Season", *NUMERIC, *CATEGORICAL, *event]
+
+
 def fit_recipe(train: DataFrame, with_event: bool = False) -> Recipe:
     """Learn categories and scales from training rows: two aggregations, few numbers back."""
     facts = train
@@ -185,9 +236,3 @@ def fit_recipe(train: DataFrame, with_event: bool = False) -> Recipe:
         {c: float(stats[f"mean {c}"] or 0.0) for c in raw},
         {c: float(stats[f"std {c}"] or 0.0) for c in raw},
     )
-
-
-def assemble(encoded: DataFrame, recipe: Recipe) -> DataFrame:
-    """Add the `features` vector of a transformed table."""
-    inputs = [f"x_{c}" for c in recipe.columns]
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(encoded)

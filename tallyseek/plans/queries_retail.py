@@ -13,7 +13,7 @@ from tallyseek.operators.forecasting import (
     simple_fit,
     time_segments,
 )
-from tallyseek.plans.facts import FACT_ORDER, retail_facts, sales_lines, table
+from tallyseek.plans.facts import retail_facts, sales_lines, table
 from tallyseek.plans.registry import query
 from tallyseek.plans.sqltext import quoted
 
@@ -440,15 +440,13 @@ def feature_recipe(spark, folder):
     """Mean and deviation of every encoded, scaled feature: 0 and 1, or 0 and 0."""
     data = retail_facts(spark, folder)
     recipe = ft.fit_recipe(data, with_event=True)
-    encoded = recipe.transform(data.select(*FACT_ORDER, *[c for c in data.columns if c not in FACT_ORDER]))
-    stats = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.round(F.avg(f"`x_{c}`"), 6).alias("mean"),
-                F.round(F.stddev_pop(f"`x_{c}`"), 6).alias("deviation"),
-            )
-            for c in recipe.columns
-        ]
+    names = F.array(*map(F.lit, recipe.columns))
+    cells = data.select(F.posexplode(recipe.values()).alias("at", "value"))
+    return (
+        cells.groupBy("at")
+        .agg(
+            F.round(F.avg("value"), 6).alias("mean"),
+            F.round(F.stddev_pop("value"), 6).alias("deviation"),
+        )
+        .select(names[F.col("at")].alias("feature"), "mean", "deviation")
     )
-    return encoded.agg(stats.alias("stats")).select(F.inline("stats"))
