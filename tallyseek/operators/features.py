@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,13 +227,14 @@ def fit_recipe(train: DataFrame, with_event: bool = False) -> Recipe:
         names = (*names, "Event_Grouped")
     categories = categories_of(facts, names)
     raw = encoded_columns(categories, with_event, "keep")
-    stats = facts.agg(
-        *[F.avg(column).alias(f"mean {c}") for c, column in raw.items()],
-        *[F.stddev_pop(column).alias(f"std {c}") for c, column in raw.items()],
-    ).first()
+    vectors = facts.select(array_to_vector(F.array(*raw.values())).alias("raw"))
+    summary = Summarizer.metrics("mean", "variance", "count").summary(F.col("raw"))
+    stats = vectors.select(summary.alias("s")).select("s.*").first()
+    # The summary's variance is the sample's.
+    shrink = max(stats["count"] - 1, 0) / max(stats["count"], 1)
     return Recipe(
         with_event,
         categories,
-        {c: float(stats[f"mean {c}"] or 0.0) for c in raw},
-        {c: float(stats[f"std {c}"] or 0.0) for c in raw},
+        dict(zip(raw, map(float, stats["mean"]))),
+        {c: float(v * shrink) ** 0.5 for c, v in zip(raw, stats["variance"])},
     )
