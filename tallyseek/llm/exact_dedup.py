@@ -32,6 +32,7 @@ RUNS = T.StructType(
         T.StructField("last_run", T.BooleanType()),
         T.StructField("run_keep", T.LongType()),
         T.StructField("run_size", T.LongType()),
+        T.StructField("row", T.LongType()),
     ]
 )
 
@@ -43,7 +44,7 @@ def normalised(column: str = "text"):
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of equal neighbouring texts in one sorted range; keeps ids and digests, never texts."""
-    ids, digests, starts, before = [], [], [], None
+    ids, digests, rows, starts, before = [], [], [], [], None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -55,6 +56,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = texts[-1].as_py()
         ids.append(batch.column(batch.schema.get_field_index("doc_id")))
         digests.append(batch.column(batch.schema.get_field_index("digest")))
+        rows.append(batch.column(batch.schema.get_field_index("row")))
         starts.append(new)
     if not ids:
         return
@@ -74,6 +76,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(run == run[-1]),
             keeps.take(pa.array(run)),
             pa.array(sizes[run].astype(np.int64)),
+            pa.chunked_array(rows).combine_chunks(),
         ],
         names=RUNS.fieldNames(),
     )
@@ -110,21 +113,23 @@ def _border_fixes(runs: DataFrame) -> list[tuple]:
     return fixes
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and row (of `row_col`, else null).
 
     Texts are equal when equal after every run of ASCII blanks is one space; null equals the empty
     text.  The row with the smallest id of a group stays; null ids come last, and of rows with the same
-    id and text exactly one is `kept`.  Other columns are not read.  An empty table gives no rows.
+    id and text exactly one is `kept`; `row_col` (a long) tells which.  Other columns are not read.  An empty table gives no rows.
     """
     norm = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("norm")
+        F.col(id_col).cast("long").alias("doc_id"),
+        normalised(text_col).alias("norm"),
+        (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
     ).withColumn("digest", F.unhex(F.sha2("norm", 256)))
     order = [F.substring("norm", 1, SPLITTER_CHARS), F.col("digest"), F.col("doc_id").asc_nulls_last()]
     ranged = norm.repartitionByRange(*order).sortWithinPartitions(
         order[0], "digest", "norm", F.col("doc_id").asc_nulls_last()
     )
-    runs = stored(ranged.select("doc_id", "digest", "norm").mapInArrow(_runs, RUNS))
+    runs = stored(ranged.select("doc_id", "digest", "norm", "row").mapInArrow(_runs, RUNS))
     fixes = docs.sparkSession.createDataFrame(
         _border_fixes(runs), "part int, run long, keep long, size long, head boolean"
     )
@@ -134,4 +139,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("size", "run_size").alias("group_size"),
         (F.col("first") & F.coalesce("head", F.lit(True))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "row",
     )

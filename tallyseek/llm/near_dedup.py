@@ -114,11 +114,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at + first, len(raws)),
+                        batch.column(2).slice(at + first, len(raws)),
                         pa.array(digests, type=pa.binary()),
                         pa.array(np.diff(ends)),
                         pa.ListArray.from_arrays(np.arange(0, (len(raws) + 1) * BANDS, BANDS, dtype=np.int32), pa.array(keys.ravel())),
                     ],
-                    names=["doc_id", "digest", "n_words", "bands"],
+                    names=["doc_id", "row", "digest", "n_words", "bands"],
                 )
 
 
@@ -212,12 +213,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per row: row number, doc_id, digest of its words (null without words), n_words, band keys; stored."""
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _sketch, "doc_id long, digest binary, n_words long, bands array<long>"
-    )
-    return stored(found.withColumn("row", F.monotonically_increasing_id()))
+    row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row.alias("row"))
+    return stored(given.mapInArrow(_sketch, "doc_id long, row long, digest binary, n_words long, bands array<long>"))
 
 
 def candidate_links(texts: DataFrame) -> DataFrame:
@@ -227,15 +227,15 @@ def candidate_links(texts: DataFrame) -> DataFrame:
     return keys.join(heads, "band").filter("a <> digest").select("a", F.col("digest").alias("b")).distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, class_size (rows), kept.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, class_id, class_size (rows), kept, row (of `row_col`, else a number of its own).
 
     Classes are the connected components of "weighted Jaccard of five-word shingle multisets >= 0.8", words being
     lower-cased runs of non-blanks; class_id is the class's smallest id and exactly one row, the first with that id, is kept.  Texts of
     1 to 4 words are one shingle.  Null and blank texts are similar to nothing, so each is its own class.  Null ids come after all others.
     Of the columns only id and text are read.
     """
-    rows = sketches(docs, id_col, text_col)
+    rows = sketches(docs, id_col, text_col, row_col)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     texts = stored(
         rows.filter("digest IS NOT NULL")
@@ -280,4 +280,5 @@ def _classes(rows: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
         F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         (F.col("head").isNull() | (F.col("head.row") == F.col("row"))).alias("kept"),
+        "row",
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyseek.llm import common, decontamination, exact_dedup, language_id, mixing, near_dedup, quality, secrets, suffix_dedup, toxicity
+from tallyseek.llm import common, decontamination, exact_dedup, language_id, mixing, near_dedup, passages, quality, secrets, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(held, model, ["doc_id", "held_out"])
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat nearly in another document, with both places."""
+    return passages.near_passages(common.table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(common.table(spark, sf_dir, "documents"))
 
@@ -52,11 +57,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(common.table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(common.table(spark, sf_dir, "documents")).drop("row")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(common.table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(common.table(spark, sf_dir, "documents")).drop("row")
 
 
 # A finding is labelled by what issuers of keys publish about their shape.
@@ -77,6 +82,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
+    "op3_passages": op3_passages,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,

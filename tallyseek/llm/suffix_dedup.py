@@ -35,7 +35,7 @@ _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _STEPS = [int(x) | 1 for x in mix(np.arange(5, dtype=np.uint64) + np.uint64(991))]
 
 
-def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (minimum or maximum) over every `width` neighbours."""
     out, have = values, 1
     while have * 2 <= width:
@@ -57,10 +57,10 @@ def anchors(raws: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
         gap = 1 << level
         h = h[:-gap] * np.uint64(step) + h[gap:]
     h = mix(h)
-    low = _sliding(h, width, np.minimum)
+    low = sliding(h, width, np.minimum)
     # A place is the smallest of some window if no window around it has a minimum above its hash's own.
     padded = np.r_[np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)]
-    at = np.flatnonzero(_sliding(padded, width, np.maximum) == h)
+    at = np.flatnonzero(sliding(padded, width, np.maximum) == h)
     value, n = h[at], len(at)
     left, right = np.full(n, -1, np.int64), np.full(n, len(data), np.int64)
     for found, side, better in ((left, -1, np.less_equal), (right, 1, np.less)):
