@@ -65,7 +65,8 @@ def grammar() -> tuple[int, dict[tuple[int, str], int], list[tuple]]:
         {(n, "NEG"): NEGATION_REACH for n in range(NEGATION_REACH + 1)}
         | {(n, "*"): n - 1 for n in range(1, NEGATION_REACH + 1)},
     )
-    report = Transducer(0, {(0, "REP"): 1, (0, "QUOTE"): 1, (1, "QUOTE"): 0})
+    # 1: after a verb of speech; 2: inside quotation marks.
+    report = Transducer(0, {(0, "REP"): 1, (0, "QUOTE"): 2, (1, "QUOTE"): 2, (2, "QUOTE"): 0})
     target = Transducer(0, {(0, "TGT"): 1})
     parts = (negation, report, target)
     states = {tuple(p.start for p in parts): 0}
