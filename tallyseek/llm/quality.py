@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyseek.llm.common import bounded_sample
+from tallyseek.llm.shingles import blocks, mix, word_hashes
 
 # Bounds of the fitted model: rated documents it learns from and hashed weights it has.
 TRAIN_DOCS = 10_000
@@ -21,37 +18,41 @@ WEIGHTS = 1 << 15
 ROUNDS = 150
 PENALTY = 2e-4
 
-_TOKENS = re.compile(r"\w+|[^\w\s]+")
+# Character classes of the shape marks, by byte: ASCII symbols and digits.
+_SYMBOL, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
+_SYMBOL[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+_DIGIT[48:58] = True
+_MARKS = mix(np.arange(64 * 5, dtype=np.uint64) + np.uint64(31_337))
 
 
-def hashed_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of the whole text with their values: damped word counts of unit length, and shape marks.
+def hashed_features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hashed feature, value) over lower-cased texts: damped word counts of unit length, and shape marks.
 
     Shape marks are steps of the shares of symbols, repeated neighbours, distinct words and digits, and the number of
-    words.  An empty or null text has only its length mark.
+    words.  A text without words has only its marks.
     """
-    tokens = _TOKENS.findall((text or "").lower())
-    counted = Counter(tokens)
-    values: dict[int, float] = {}
-    for token, n in counted.items():
-        at = zlib.crc32(token.encode()) % WEIGHTS
-        values[at] = values.get(at, 0.0) + 1.0 + math.log(n)
-    length = math.sqrt(sum(v * v for v in values.values())) or 1.0
-    values = {k: v / length for k, v in values.items()}
-    n = len(tokens)
-    marks = [f"words {int(math.log2(n + 1))}"]
-    if n:
-        symbols = sum(c for t, c in counted.items() if not t[0].isalnum())
-        repeated = sum(a == b for a, b in zip(tokens, tokens[1:]))
-        digits = sum(c for t, c in counted.items() if t.isdigit())
-        for name, share in (
-            ("symbols", symbols / n), ("repeated", repeated / n), ("distinct", len(counted) / n), ("digits", digits / n),
-        ):
-            marks.append(f"{name} {int(20 * share)}")
-    for mark in marks:
-        at = zlib.crc32(b"\x00" + mark.encode()) % WEIGHTS
-        values[at] = values.get(at, 0.0) + 0.5
-    return np.fromiter(values, dtype=np.int32, count=len(values)), np.fromiter(values.values(), dtype=np.float32, count=len(values))
+    texts = len(raws)
+    words, owner = word_hashes(raws)
+    keys, counts = np.unique(owner * WEIGHTS + ((words >> np.uint64(20)) % np.uint64(WEIGHTS)).astype(np.int64), return_counts=True)
+    row, values = keys // WEIGHTS, 1.0 + np.log(counts)
+    length = np.sqrt(np.bincount(row, weights=values * values, minlength=texts))
+    n = np.bincount(owner, minlength=texts)
+    again = np.bincount(owner[1:][(words[1:] == words[:-1]) & (owner[1:] == owner[:-1])], minlength=texts) if len(words) else n
+    data = np.frombuffer(b"".join(raws), dtype=np.uint8)
+    ends = np.cumsum([len(r) for r in raws])
+    sizes = np.maximum(np.diff(np.r_[0, ends]), 1)
+    some = np.maximum(n, 1)
+    marks = [np.log2(n + 1), 40 * again / some, 40 * np.bincount(row, minlength=texts) / some]
+    for kind in (_SYMBOL, _DIGIT):
+        total = np.r_[0, np.cumsum(kind[data])]
+        marks.append(120 * (total[ends] - total[np.r_[0, ends[:-1]]]) / sizes)
+    steps = [np.minimum(m.astype(np.int64), 63) + 64 * i for i, m in enumerate(marks)]
+    at = np.r_[keys % WEIGHTS, *[(_MARKS[m] % np.uint64(WEIGHTS)).astype(np.int64) for m in steps]]
+    return (
+        np.r_[row, np.tile(np.arange(texts), len(steps))],
+        at,
+        np.r_[values / np.maximum(length[row], 1e-9), np.full(texts * len(steps), 0.5)],
+    )
 
 
 class OrdinalModel:
@@ -60,15 +61,11 @@ class OrdinalModel:
     def __init__(self, grades: list[int], weights: np.ndarray, thresholds: np.ndarray):
         self.grades, self.weights, self.thresholds = grades, weights, thresholds
 
-    def tails(self, text: str | None) -> np.ndarray:
-        """P(grade >= each grade but the lowest), not increasing."""
-        at, values = hashed_features(text)
-        z = float(self.weights[at] @ values) if len(at) else 0.0
-        return 1 / (1 + np.exp(-np.clip(z - self.thresholds, -30, 30)))
-
-    def expected(self, tails: np.ndarray) -> float:
-        steps = np.diff(np.asarray(self.grades, dtype=float))
-        return float(self.grades[0] + steps @ tails) if len(self.grades) > 1 else float(self.grades[0])
+    def tails(self, raws: list[bytes]) -> np.ndarray:
+        """Per text P(grade >= each grade but the lowest), not increasing."""
+        row, at, values = hashed_features(raws)
+        z = np.bincount(row, weights=self.weights[at] * values, minlength=len(raws))
+        return 1 / (1 + np.exp(-np.clip(z[:, None] - self.thresholds[None, :], -30, 30)))
 
 
 def fit_cumulative(rows: np.ndarray, at: np.ndarray, values: np.ndarray, levels: np.ndarray, n_levels: int):
@@ -112,15 +109,18 @@ def fit_cumulative(rows: np.ndarray, at: np.ndarray, values: np.ndarray, levels:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [hashed_features(x.as_py()) for x in batch.column(0)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([f[0] for f in found], type=pa.list_(pa.int32())),
-                pa.array([f[1] for f in found], type=pa.list_(pa.float32())),
-                batch.column(1),
-            ],
-            names=["at", "values", "grade"],
-        )
+        for first, raws in blocks(batch.column(0).to_pylist()):
+            row, at, values = hashed_features(raws)
+            order = np.argsort(row, kind="stable")
+            offsets = pa.array(np.searchsorted(row[order], np.arange(len(raws) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.ListArray.from_arrays(offsets, pa.array(at[order].astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(values[order].astype(np.float32))),
+                    batch.column(1).slice(first, len(raws)),
+                ],
+                names=["at", "values", "grade"],
+            )
 
 
 def fit_quality(rated: DataFrame, text_col: str = "text", grade_col: str = "grade", key: str = "doc_id") -> OrdinalModel | None:
@@ -164,17 +164,22 @@ def score_quality(docs: DataFrame, model: OrdinalModel | None, keep: list[str],
         fitted = shared.value
         grades = np.asarray(fitted.grades)
         for batch in batches:
-            means, tops, best = [], [], []
-            for x in batch.column(batch.num_columns - 1):
-                tails = fitted.tails(x.as_py())
-                means.append(fitted.expected(tails))
-                tops.append(float(tails[-1]) if len(tails) else 1.0)
-                chances = -np.diff(np.r_[1.0, tails, 0.0])
-                best.append(int(grades[int(np.argmax(chances))]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(means, type=pa.float64()), pa.array(tops, type=pa.float64()), pa.array(best, type=pa.int32())],
-                names=[*batch.schema.names[:-1], "expected_grade", "tail_prob", "grade"],
-            )
+            texts = batch.column(batch.num_columns - 1)
+            for at in range(0, batch.num_rows, 1000):
+                for first, raws in blocks(texts.slice(at, 1000).to_pylist()):
+                    tails = fitted.tails(raws)
+                    ends = np.ones((len(raws), 1))
+                    chances = -np.diff(np.hstack([ends, tails, 0 * ends]), axis=1)
+                    top = tails[:, -1] if tails.shape[1] else ends[:, 0]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[c.slice(at + first, len(raws)) for c in batch.columns[:-1]],
+                            pa.array(grades[0] + tails @ np.diff(grades).astype(float)),
+                            pa.array(top),
+                            pa.array(grades[np.argmax(chances, axis=1)].astype(np.int32)),
+                        ],
+                        names=[*batch.schema.names[:-1], "expected_grade", "tail_prob", "grade"],
+                    )
 
     schema = given.drop("_text").schema.add("expected_grade", "double").add("tail_prob", "double").add("grade", "integer")
     return given.mapInArrow(run, schema)
