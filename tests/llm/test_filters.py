@@ -129,7 +129,7 @@ def test_clause_grammar_context():
     assert emitted("he is not a fool. fine") == {"insult+negated": 2.0}
     assert emitted('she said "fool" again') == {"insult+reported": 2.0}
     assert emitted("not here and there the fool") == {"insult": 2.0}
-    assert emitted("you said he is no idiotes, kill") == {"insult+negated+reported+target": 1.5, "threat+reported+target": 1.0}
+    assert emitted("you said he is no idiotes, kill") == {"insult+negated+reported+target": 1.5, "threat+negated+reported+target": 1.0}
     assert emitted("you. fool") == {"insult": 2.0}
     assert emitted("") == emitted(None) == emitted("nothing here") == {}
 
