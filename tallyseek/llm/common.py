@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +88,19 @@ def bounded_sample(docs: DataFrame, key: str, rows: int, by: str | None = None)
     for r in counts:
         share = F.when(F.col(by) == r[by], rows / r["count"]).otherwise(share)
     return docs.filter(place < share)
+
+
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Columns of one length as one compressed value, so that a shuffle carries few and narrow rows."""
+    raw = len(arrays[0]).to_bytes(4) + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    return len(raw).to_bytes(4) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
+    """The columns of `pack`, given their types."""
+    raw = pa.decompress(blob[4:], int.from_bytes(blob[:4]), codec="zstd", asbytes=True)
+    n, at, out = int.from_bytes(raw[:4]), 4, []
+    for kind in kinds:
+        out.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
+        at += n * np.dtype(kind).itemsize
+    return out

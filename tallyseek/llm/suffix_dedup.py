@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyseek.llm.common import shuffle_parts, stored, text_or_empty
+from tallyseek.llm.common import pack, shuffle_parts, stored, text_or_empty, unpack
 from tallyseek.llm.shingles import mix
 
 LENGTH, ANCHOR = 100, 32
@@ -120,38 +120,57 @@ def _gathered(batches: Iterator[pa.RecordBatch], text_column: int, limit: int) -
         yield rows, raws
 
 
-def _anchor_rows(length: int):
+# A block's anchors travel as columns: hash, id, step from the place before, whether the block repeats it.
+_ANCHOR = [np.uint64, np.int64, np.int32, np.uint8]
+
+
+def _anchor_rows(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raws in _gathered(batches, 1, LOCAL_BLOCK):
             ids = np.array([r[0] for r in rows], dtype=np.int64)
             text, place, value, _, _ = _all_anchors(raws, length)
             order = np.argsort(value, kind="stable")
-            text, place, value = text[order], place[order], value[order]
-            new = np.r_[True, value[1:] != value[:-1]] if len(value) else np.zeros(0, bool)
-            # Repeats inside the block are known as shared and need not meet other tasks: a hot anchor sends one row per block.
-            shared = np.r_[~new[1:], False] | ~new if len(value) else new
-            key = np.where(new, value, mix(value + place.astype(np.uint64) + mix(ids[text].view(np.uint64))))
+            same = value[order][1:] == value[order][:-1]
+            first, shared = np.ones(len(value), bool), np.zeros(len(value), bool)
+            first[order] = np.r_[True, ~same][: len(value)]
+            shared[order] = (np.r_[same, False] | np.r_[False, same])[: len(value)]
+            out = []
+            # Repeats inside the block are known and need not meet other tasks: a hot anchor sends one row per block.
+            known = np.flatnonzero(~first)
+            if len(known):
+                out.append((int(value[known[0]] % np.uint64(parts)), True, _packed(value, ids[text], place, shared, known)))
+            part = (value % np.uint64(parts)).astype(np.int64)
+            some = np.flatnonzero(first)
+            some = some[np.argsort(part[some], kind="stable")]
+            bounds = np.searchsorted(part[some], np.arange(parts + 1))
+            for p in range(parts):
+                if bounds[p] < bounds[p + 1]:
+                    out.append((p, False, _packed(value, ids[text], place, shared, some[bounds[p] : bounds[p + 1]])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ids[text]), pa.array(place.astype(np.int32)), pa.array(shared), pa.array(new)],
-                names=["key", "doc_id", "place", "shared", "first"],
+                [pa.array([r[0] for r in out], type=pa.int32()), pa.array([r[1] for r in out], type=pa.bool_()), pa.array([r[2] for r in out], type=pa.binary())],
+                names=["part", "known", "payload"],
             )
 
     return run
 
 
+def _packed(value, ids, place, shared, some) -> bytes:
+    return pack([value[some], ids[some], np.diff(place[some], prepend=0).astype(np.int32), shared[some].astype(np.uint8)])
+
+
 def _shared_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places whose anchor has another row in this partition, and those known before."""
-    cols = [[], [], [], []]
+    found: dict[int, list] = {}
     for batch in batches:
-        first = batch.column(4).to_numpy(zero_copy_only=False)
-        known = batch.column(3).to_numpy(zero_copy_only=False)
-        ids, place = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        if (known & ~first).any():
-            yield _places(ids[known & ~first], place[known & ~first])
-        for col, x in zip(cols, (batch.column(0).to_numpy(), ids, place, known)):
-            col.append(x[first])
-    if cols[0]:
-        key, ids, place, known = (np.concatenate(c) for c in cols)
+        for part, known, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            key, ids, step, shared = unpack(payload, _ANCHOR)
+            place = np.cumsum(step, dtype=np.int32)
+            if known:
+                yield _places(ids, place)
+            else:
+                found.setdefault(part, []).append((key, ids, place, shared > 0))
+    for columns in found.values():
+        key, ids, place, known = (np.concatenate(c) for c in zip(*columns))
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         twice = np.zeros(len(key), bool)
@@ -379,14 +398,18 @@ def remove_spans(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[
     return b"".join(left), [(a, b) for a, b in merged]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, version, start, end) byte spans covered by repeated strings; `docs` has doc_id (no nulls), version, text."""
+def _shuffle_width(docs: DataFrame) -> int:
+    """Shuffle partitions: the session's number, or more if a partition would get over PART_BYTES of text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(shuffle_parts(docs.sparkSession), math.ceil(total / PART_BYTES))
+    return max(shuffle_parts(docs.sparkSession), math.ceil(total / PART_BYTES))
+
+
+def repeated_spans(docs: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
+    """(doc_id, version, start, end) byte spans covered by repeated strings; `docs` has doc_id (no nulls), version, text."""
     found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        _anchor_rows(length), "key long, doc_id long, place int, shared boolean, first boolean"
+        _anchor_rows(length, parts), "part int, known boolean, payload binary"
     )
-    places = found.repartition(parts, "key").mapInArrow(_shared_places, "doc_id long, place int")
+    places = found.repartition(parts, "part").mapInArrow(_shared_places, "doc_id long, place int")
     by_doc = stored(places.groupBy("doc_id").agg(F.collect_list("place").alias("places")))
     wanted = by_doc.withColumnRenamed("doc_id", "id").hint("shuffle_hash")
     given = _placed(docs, parts).join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "version", "places", "text")
@@ -411,23 +434,22 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     given = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text")
     ).withColumn("version", F.xxhash64("text"))
+    parts = _shuffle_width(given)
     spans = (
-        repeated_spans(given, length)
-        .groupBy("doc_id", "version")
-        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-        .withColumnsRenamed({"doc_id": "id", "version": "v"})
+        repeated_spans(given, parts, length)
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("version", "start", "end")).alias("spans"))
+        .withColumnRenamed("doc_id", "id")
         .hint("shuffle_hash")
     )
-    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(shuffle_parts(docs.sparkSession), math.ceil(total / PART_BYTES))
-    joined = _placed(given, parts).join(spans, (F.col("doc_id") == F.col("id")) & (F.col("version") == F.col("v")), "left")
+    joined = _placed(given, parts).join(spans, F.col("doc_id") == F.col("id"), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for text, spans_ in zip(batch.column(1), batch.column(2).to_pylist()):
+            for text, version, spans_ in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 raw = text.as_buffer().to_pybytes()
-                left, gone = remove_spans(raw, [(s["start"], s["end"]) for s in spans_ or []])
+                left, gone = remove_spans(raw, [(s["start"], s["end"]) for s in spans_ or [] if s["version"] == version])
                 for col, x in zip(
                     out,
                     (len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left, [{"start": a, "end": b} for a, b in gone]),
@@ -440,7 +462,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"],
             )
 
-    result = joined.select("doc_id", "text", "spans").mapInArrow(
+    result = joined.select("doc_id", "text", "version", "spans").mapInArrow(
         cut,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: int, end: int>>",
     )
