@@ -153,8 +153,8 @@ def clean_for_embedding(
 ) -> Column:
     """The full cleaning chain; the step order is part of the result.
 
-    Word forms hold no blanks, so they are unified token by token: inside the lambda a token
-    is a variable, and no step's text is computed twice.
+    Word forms hold no blanks, so they are unified token by token.  A text without the first
+    letter of any word form or number word has none of them and skips both steps.
     """
     lexicon = lexicon or Lexicon()
     out = fix_encoding(text, compose)
@@ -166,12 +166,27 @@ def clean_for_embedding(
     tokens = F.transform(
         whitespace_tokens(out), lambda token: _looked_up(token, lexicon.centuries)
     )
-    tokens = F.transform(tokens, lambda token: unify_word_forms(token, lexicon))
-    tokens = F.transform(
-        whitespace_tokens(F.array_join(tokens, " ")),
-        lambda token: _looked_up(token, lexicon.numbers),
-    )
-    return F.array_join(drop_stop_words(tokens, lexicon), " ")
+
+    def written(plain: Column) -> Column:
+        unified = F.transform(
+            whitespace_tokens(plain), lambda token: unify_word_forms(token, lexicon)
+        )
+        digits = F.transform(
+            whitespace_tokens(F.array_join(unified, " ")),
+            lambda token: _looked_up(token, lexicon.numbers),
+        )
+        starts = [form for forms in lexicon.word_forms.values() for form in forms]
+        initials = sorted({word[0] for word in [*starts, *lexicon.numbers]})
+        if not initials:
+            return plain
+        any_initial = "[" + "".join(re.escape(letter) for letter in initials) + "]"
+        return F.when(plain.rlike(any_initial), F.array_join(digits, " ")).otherwise(plain)
+
+    # The array holds the text for the lambda, so that no step is computed twice.
+    out = F.get(F.transform(F.array(F.array_join(tokens, " ")), written), F.lit(0))
+    if not lexicon.stop_words:
+        return out
+    return F.array_join(drop_stop_words(whitespace_tokens(out), lexicon), " ")
 
 
 def lemmatize(

@@ -6,21 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(left: Column, right: Column) -> Column:
-    products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, value: total + value)
-
-
-def l2_norm(vector: Column) -> Column:
-    return F.sqrt(dot(vector, vector))
-
-
-def cosine(left: Column, right: Column) -> Column:
-    """Cosine similarity of one pair; null when a vector has no length."""
-    norms = l2_norm(left) * l2_norm(right)
-    return F.when(norms > 0, dot(left, right) / norms)
-
-
 def hashed_bucket(term: Column, dimensions: int) -> Column:
     """Bucket of a term from its MD5, so that other engines can compute the same one."""
     return F.pmod(F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long"), F.lit(dimensions))

@@ -115,10 +115,17 @@ def with_multiplicative_noise(
 
 
 def keyed_normal(key: Column, seed) -> Column:
-    """A standard normal draw that is a function of key and seed."""
+    """A standard normal draw that is a function of key and seed.
+
+    The two uniform numbers are 12 hexadecimal digits each of one MD5, so that other engines
+    can draw the same.
+    """
     seed = seed if isinstance(seed, Column) else F.lit(seed)
-    scale = float(1 << 53)
-    first = F.shiftrightunsigned(F.xxhash64(key, seed), 11).cast("double")
-    second = F.shiftrightunsigned(F.xxhash64(seed, key), 11).cast("double")
-    radius = F.sqrt(-2 * F.log((first + 1) / scale))
-    return radius * F.cos(2 * 3.141592653589793 * second / scale)
+    digest = F.md5(F.concat_ws("/", key.cast("string"), seed.cast("string")))
+    scale = float(1 << 48)
+
+    def uniform(start: int) -> Column:
+        return F.conv(F.substring(digest, start, 12), 16, 10).cast("double")
+
+    radius = F.sqrt(-2 * F.log((uniform(1) + 1) / scale))
+    return radius * F.cos(2 * 3.141592653589793 * uniform(13) / scale)

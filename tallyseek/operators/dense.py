@@ -70,11 +70,11 @@ def hashed_embedding(
 ) -> DataFrame:
     """`key, embedding`: word counts folded into `dimensions` buckets, all inside the JVM.
 
-    A model-free, deterministic encoder for places without a neural one.
+    A model-free, deterministic encoder for places without a neural one.  Words are counted
+    before the exchange, so texts stay where they are read.
     """
     words = (
         texts.select(key, text.alias("_text"))
-        .repartition(key)
         .select(key, F.explode(word_tokens(F.col("_text"))).alias("word"))
     )
     sums = [

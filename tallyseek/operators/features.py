@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -35,9 +33,6 @@ FIXED_CATEGORIES = {
     "Event": ["Holiday", "Daily event", "Promotion", "None"],
 }
 
-# More values than this is no category.
-MAX_CATEGORIES = 10_000
-
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """`column, code`: distinct values in sorted order, from 0."""
@@ -56,14 +51,14 @@ def fixed_code(value: Column, classes: list[str]) -> Column:
 
 
 def categories_of(df: DataFrame, columns: tuple[str, ...]) -> dict[str, list[str]]:
-    """Sorted distinct values of each column, in one pass."""
+    """Sorted distinct values of each column, in one pass.
+
+    The values become feature names, so they are bound by the width of a feature vector.
+    """
     cells = F.array(
         *[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]
     )
-    values = df.select(F.inline(cells)).filter(F.col("value").isNotNull()).distinct()
-    found = values.limit(MAX_CATEGORIES + 1).collect()
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"over {MAX_CATEGORIES} values in {columns}")
+    found = df.select(F.inline(cells)).filter(F.col("value").isNotNull()).distinct().collect()
     return {c: sorted(row.value for row in found if row.name == c) for c in columns}
 
 
@@ -113,15 +108,6 @@ def scaled(value: Column, mean: Column, deviation: Column) -> Column:
     return F.when(deviation > 0, (value - mean) / deviation).otherwise(F.lit(0.0))
 
 
-def with_feature_noise(
-    df: DataFrame, columns: list[str], key: Column, level: float = 0.1, seed: int = 42
-) -> DataFrame:
-    """x + N(0, level); the draw depends on row key, column and seed only."""
-    return df.withColumns(
-        {c: F.col(c) + level * keyed_normal(key, seed + i) for i, c in enumerate(columns)}
-    )
-
-
 @dataclass(frozen=True)
 class Recipe:
     """What the training rows taught: categories, means and deviations."""
@@ -169,31 +155,10 @@ class Recipe:
 
 
 def noisy(values: Column, key: Column, level: float = 0.1, seed: int = 42) -> Column:
-    """Add N(0, level) to every element; the draw depends on key, place and seed only.
-
-    Over wide arrays the column form (`keyed_normal` in a lambda) is interpreted element by
-    element and took ten times as long as these Arrow batches.
-    """
-
-    @F.pandas_udf("array<double>")
-    def add(arrays: pd.Series, keys: pd.Series) -> pd.Series:
-        matrix = np.stack(arrays.to_numpy()) if len(arrays) else np.zeros((0, 0))
-        places = np.arange(2 * matrix.shape[1], dtype="uint64") + np.uint64(2 * seed + 1)
-        mixed = _mix(_mix(keys.to_numpy().astype("uint64"))[:, None] + _mix(places)[None, :])
-        uniform = ((mixed >> np.uint64(11)).astype("float64") + 1) / 2.0**53
-        first, second = uniform[:, 0::2], uniform[:, 1::2]
-        draws = np.sqrt(-2 * np.log(first)) * np.cos(2 * np.pi * second)
-        return pd.Series(list(matrix + level * draws), index=arrays.index)
-
-    return add(values, key)
-
-
-def _mix(words: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser: spreads every input bit over the word."""
-    words = words + np.uint64(0x9E3779B97F4A7C15)
-    words = (words ^ (words >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    words = (words ^ (words >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return words ^ (words >> np.uint64(31))
+    """Add N(0, level) to every element; the draw depends on key, place and seed only."""
+    return F.transform(
+        values, lambda value, place: value + level * keyed_normal(key, place + F.lit(seed))
+    )
 
 
 def encoded_columns(

@@ -1,7 +1,7 @@
 """BM25+ and TF-IDF over index tables.
 
 Everything a chunk owns (its postings, norm and scores) is hash-partitioned by `chunk_id`,
-so one exchange of the chunk text serves counting, scoring and normalising.  The query
+terms are counted inside the chunk's row and only the counts are exchanged.  The query
 side is small and checked; when it is not, hot terms are salted.
 """
 
@@ -48,28 +48,64 @@ def term_rows(
 ) -> DataFrame:
     """`chunk_id, term, dl, tf`, partitioned by `chunk_id`: all an index is made of.
 
+    A chunk is one row, so its terms are counted in the row: texts are never exchanged.
+
     Besides its terms every chunk with text has one row of its own, under the empty term, so
     sizes and lengths need no second look at the texts.  With a (broadcastable) vocabulary
     only its terms are kept.  Chunks without text have no row.
     """
     if "content" not in chunks.columns:
         raise ValueError("the chunk table has no 'content' column")
-    placed = chunks.select("chunk_id", "content").repartition("chunk_id")
-    tokens = tokenizer(F.col("content"))
-    own = F.when(F.col("content") != "", F.array(F.lit(CHUNK_ROW))).otherwise(
-        F.array().cast("array<string>")
+    own = F.struct(
+        F.lit(CHUNK_ROW).alias("term"), F.lit(1).cast("bigint").alias("tf")
+    )
+    counted = once(
+        tokenizer(F.col("content")),
+        lambda tokens: F.transform(
+            F.concat(F.array(own), term_counts(tokens)),
+            lambda entry: F.struct(
+                entry["term"].alias("term"),
+                F.size(tokens).alias("dl"),
+                entry["tf"].alias("tf"),
+            ),
+        ),
     )
-    # The outer form keeps the tokens from being computed again for a null check.
-    exploded = placed.select(
-        "chunk_id", F.size(tokens).alias("dl"), F.concat(tokens, own).alias("tokens")
-    ).select("chunk_id", "dl", F.explode_outer("tokens").alias("term"))
-    if vocabulary is None:
-        kept = exploded.filter(F.col("term").isNotNull())
-    else:
+    kept = chunks.filter(F.col("content") != "").select("chunk_id", F.inline(counted))
+    if vocabulary is not None:
         own_term = vocabulary.sparkSession.range(1).select(F.lit(CHUNK_ROW).alias("term"))
         wanted = vocabulary.select("term").unionByName(own_term)
-        kept = exploded.join(F.broadcast(wanted), "term", "left_semi")
-    return kept.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+        kept = kept.join(F.broadcast(wanted), "term", "left_semi").select("chunk_id", "term", "dl", "tf")
+    return kept.repartition("chunk_id")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with `value` computed once per row however often `use` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def term_counts(tokens: Column) -> Column:
+    """`term, tf` structs of an array of tokens: run lengths of the sorted tokens."""
+
+    def runs(ordered: Column) -> Column:
+        size = F.size(ordered)
+        places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(
+            F.array().cast("array<int>")
+        )
+        heads = F.filter(
+            places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
+        )
+        return once(
+            heads,
+            lambda starts: F.transform(
+                starts,
+                lambda at, i: F.struct(
+                    F.get(ordered, at).alias("term"),
+                    (F.coalesce(F.get(starts, i + 1), size) - at).cast("bigint").alias("tf"),
+                ),
+            ),
+        )
+
+    return once(F.array_sort(tokens), runs)
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -248,7 +284,8 @@ def bm25_top_k(
     """`query_id, chunk_id, score, rank` of the k best chunks per question."""
     asked = query_terms(queries)
     index = index or store_index(chunks, asked=asked)
-    weighted = bm25_query_weights(index, asked)
+    # Read by the size check, the match and the baseline.
+    weighted = materialize(bm25_query_weights(index, asked))
     gains = bm25_gains(index, weighted, params, broadcast_rows)
     ranked = rank_with_unmatched(gains, queries, index.chunks, k)
     return ranked.join(bm25_baseline(weighted, params), "query_id", "left").select(

@@ -17,12 +17,19 @@ HOT_SHARE = 1000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is configured."""
+    """The session's checkpoint folder; a temporary one only in local mode with none configured.
+
+    On several machines a temporary folder would be a different disk for each executor.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyseek-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyseek-")
     context.setCheckpointDir(folder)
     return folder
 

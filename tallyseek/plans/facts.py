@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyseek.functions.calendar import season, weekday_name
+from tallyseek.functions.calendar import next_holiday, season, weekday_name
 from tallyseek.operators.retail import PRODUCTS, product_table, restock_days
 from tallyseek.operators.sizing import attach, inline_table
 from tallyseek.plans.forecast import seasonal_weather_table
@@ -58,7 +58,7 @@ def retail_facts(spark: SparkSession, folder: str) -> DataFrame:
     Customers and sales of a day come from its orders; the weather is one of the season's
     kinds, picked by the day of the month.
     """
-    # One row per calendar day.
+    # One row per calendar day; not broadcast by hand, since days grow with the years.
     daily = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("Date")).agg(
         F.count("*").cast("int").alias("Num_Customers"), F.sum("o_totalprice").alias("Sales")
     )
@@ -72,10 +72,15 @@ def retail_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
     products = product_table(spark).select("Product", "Category", "Shelf_Life")
     return (
-        dated.join(F.broadcast(daily), "Date", "left")
+        dated.join(daily, "Date", "left")
         .join(F.broadcast(seasonal_weather_table(spark)), ["Season", "place"])
         .drop("place")
         .join(F.broadcast(products), "Product")
         .fillna({"Num_Customers": 0, "Sales": 0.0})
         .withColumn("Days_Until_Next_Purchase", restock_days(F.col("Stocks"), F.col("Shelf_Life")))
     )
+
+
+def with_events(facts: DataFrame) -> DataFrame:
+    """Facts whose sales within three days before a holiday carry its name as the event."""
+    return facts.withColumn("Event", next_holiday(F.col("Date"))["name"])

@@ -13,9 +13,9 @@ from tallyseek.operators.forecasting import (
     simple_fit,
     time_segments,
 )
-from tallyseek.plans.facts import retail_facts, sales_lines, table
+from tallyseek.plans.facts import retail_facts, sales_lines, table, with_events
 from tallyseek.plans.registry import query
-from tallyseek.plans.sqltext import quoted
+from tallyseek.plans.sqltext import normal_sql, quoted
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LINE_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -40,6 +40,9 @@ PRODUCT_LIST = "[" + ", ".join(quoted(row[0]) for row in rl.PRODUCTS) + "]"
 CATEGORY = {row[0]: row[1] for row in rl.PRODUCTS}
 SHELF = {row[0]: row[2] for row in rl.PRODUCTS}
 
+HOLIDAY_ROWS = ", ".join(
+    f"({i}, {quoted(n)}, {m}, {d})" for i, (n, m, d) in enumerate(cal.HOLIDAYS)
+)
 LINES_SQL = f"""lines AS (SELECT l_shipdate::DATE AS Date, l_orderkey, l_linenumber, l_partkey,
   l_suppkey, l_extendedprice / l_quantity AS Unit_Price, l_quantity::INTEGER AS Purchase_Quantity,
   {PRODUCT_LIST}[l_partkey % 10 + 1] AS Product, p_size AS Stocks
@@ -115,9 +118,6 @@ def demand_uplift(spark, folder):
     return sales_lines(spark, folder).select(*LINE_KEY, uplift.alias("uplift"))
 
 
-HOLIDAY_ROWS = ", ".join(
-    f"({i}, {quoted(n)}, {m}, {d})" for i, (n, m, d) in enumerate(cal.HOLIDAYS)
-)
 HOLIDAY_SQL = f"""holidays(place, name, month, day) AS (VALUES {HOLIDAY_ROWS}),
 near AS (SELECT o_orderkey, o_orderdate::DATE AS d, first(name ORDER BY place) AS name,
   first(h ORDER BY place) AS h FROM (SELECT o_orderkey, o_orderdate, place, name,
@@ -226,7 +226,8 @@ def purchase_gaps(spark, folder):
 WHERE o_orderdate <= DATE '1998-06-30'""",
 )
 def date_cutoff(spark, folder):
-    orders = table(spark, folder, "orders").filter(F.col("o_orderdate") <= F.lit("1998-06-30").cast("timestamp_ntz"))
+    end = F.lit("1998-06-30").cast("timestamp_ntz")
+    orders = rl.until(table(spark, folder, "orders"), end, "o_orderdate")
     return orders.select("o_orderkey", F.to_date("o_orderdate").alias("Date"))
 
 
@@ -340,16 +341,38 @@ def standardize(spark, folder):
     return scaled.select("p_partkey", *[F.round(c, 6).alias(c) for c in columns])
 
 
-@query("feature_noise")
+@query(
+    "feature_noise",
+    f"""SELECT p_partkey, round(p_size + 0.1 * {normal_sql("p_partkey", 42)}, 6) AS size,
+  round(p_retailprice + 0.1 * {normal_sql("p_partkey", 43)}, 6) AS price FROM part""",
+)
 def feature_noise(spark, folder):
-    """Noise of one column, summarised: it is centred with a deviation of 0.1."""
-    parts = table(spark, folder, "part").withColumn("noisy", F.lit(0.0))
-    noisy = ft.with_feature_noise(parts, ["noisy"], F.col("p_partkey"))
-    return noisy.agg(
-        F.count("*").alias("rows"),
-        F.round(F.avg("noisy"), 6).alias("mean"),
-        F.round(F.stddev_pop("noisy"), 6).alias("deviation"),
+    """Every part's two features with the noise that training adds."""
+    parts = table(spark, folder, "part").select(
+        "p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("values")
     )
+    noisy = parts.withColumn("values", ft.noisy(F.col("values"), F.col("p_partkey")))
+    return noisy.select(
+        "p_partkey", F.round(F.col("values")[0], 6).alias("size"), F.round(F.col("values")[1], 6).alias("price")
+    )
+
+
+@query(
+    "event_features",
+    f"""WITH {LINES_SQL}, e AS (SELECT {LINE_SQL}, CASE WHEN EXISTS (
+  SELECT 1 FROM (VALUES {HOLIDAY_ROWS}) h(place, name, month, day)
+  WHERE make_date(year(Date), month, day) BETWEEN Date AND Date + 3) THEN 'Holiday' ELSE 'None' END AS grouped
+  FROM lines)
+SELECT *, (grouped = 'None')::DOUBLE AS "Event_Grouped_None" FROM e""",
+)
+def event_features(spark, folder):
+    """The event of every sale, its group and its encoded column."""
+    data = with_events(retail_facts(spark, folder))
+    recipe = ft.fit_recipe(data, with_event=True)
+    raw = ft.encoded_columns(recipe.categories, True, "keep")
+    names = [c for c in recipe.columns if c.startswith("Event_Grouped")]
+    grouped = rl.event_group(F.col("Event"), keep_grouped=True).alias("grouped")
+    return data.select(*LINE_KEY, grouped, *[raw[c].alias(c) for c in names])
 
 
 @query(
@@ -400,11 +423,11 @@ def fit_metrics(spark, folder):
 @query(
     "horizon_split",
     f"""WITH {LINES_SQL} SELECT part, count(*) AS rows, sum(Purchase_Quantity)::BIGINT AS quantity
-FROM (SELECT CASE WHEN year(Date) <= 1999 THEN 'train' ELSE 'test' END AS part, * FROM lines
-  WHERE year(Date) <= 2000) GROUP BY part""",
+FROM (SELECT CASE WHEN year(Date) <= 2000 THEN 'train' ELSE 'test' END AS part, * FROM lines
+  WHERE year(Date) <= 2001) GROUP BY part""",
 )
 def horizon(spark, folder):
-    train, test = horizon_split(sales_lines(spark, folder), 1999)
+    train, test = horizon_split(sales_lines(spark, folder), 2000)
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return both.groupBy("part").agg(
         F.count("*").alias("rows"), F.sum("Purchase_Quantity").alias("quantity")
@@ -435,17 +458,29 @@ def facts(spark, folder):
     )
 
 
-@query("feature_recipe")
+@query(
+    "feature_recipe",
+    f"""WITH f AS ({ENRICHED_SQL}), one(feature, varies) AS (
+  SELECT unnest(['Unit_Price', 'Num_Customers', 'Sales', 'Stocks', 'Shelf_Life', 'Days_Until_Next_Purchase',
+    'Year', 'Month', 'Day', 'Season_Encoded']), true
+  UNION ALL SELECT 'Product_' || v, true FROM (SELECT DISTINCT Product AS v FROM f ORDER BY v OFFSET 1)
+  UNION ALL SELECT 'Day_of_Week_' || v, true FROM (SELECT DISTINCT Day_of_Week AS v FROM f ORDER BY v OFFSET 1)
+  UNION ALL SELECT 'Weather_' || v, true FROM (SELECT DISTINCT Weather AS v FROM f ORDER BY v OFFSET 1)
+  UNION ALL SELECT 'Category_' || v, true FROM (SELECT DISTINCT Category AS v FROM f ORDER BY v OFFSET 1)
+  UNION ALL SELECT 'Event_Grouped_None', true)
+SELECT feature, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS deviation FROM one""",
+)
 def feature_recipe(spark, folder):
     """Mean and deviation of every encoded, scaled feature: 0 and 1, or 0 and 0."""
-    data = retail_facts(spark, folder)
+    data = with_events(retail_facts(spark, folder))
     recipe = ft.fit_recipe(data, with_event=True)
     names = F.array(*map(F.lit, recipe.columns))
     cells = data.select(F.posexplode(recipe.values()).alias("at", "value"))
     return (
         cells.groupBy("at")
         .agg(
-            F.round(F.avg("value"), 6).alias("mean"),
+            # Plus zero: a mean just below zero rounds to minus zero.
+            (F.round(F.avg("value"), 6) + 0.0).alias("mean"),
             F.round(F.stddev_pop("value"), 6).alias("deviation"),
         )
         .select(names[F.col("at")].alias("feature"), "mean", "deviation")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyseek.functions.text import strip_punctuation, word_tokens
+from tallyseek.functions.text import clean_for_embedding, strip_punctuation, word_tokens
 from tallyseek.operators import fusion
 from tallyseek.operators import lexical as lx
 from tallyseek.operators.dense import hashed_embedding, nearest
 from tallyseek.operators.ranking import parse_ranked_lists, ranked_lists
 from tallyseek.plans import retrieval as rt
 from tallyseek.plans.facts import corpus, questions, table
+from tallyseek.plans.queries_text import clean_sql
 from tallyseek.plans.registry import query
 from tallyseek.plans.sqltext import bm25_ctes, hashed_ctes, ranked, tfidf_ctes
 
@@ -226,12 +227,16 @@ def parsed_lists(spark, folder):
 
 
 def hybrid(spark, folder, k=5):
-    """All three scores over all documents: BM25+ on cleaned, the others on raw questions."""
-    docs, plain_docs = corpus(spark, folder), plain_corpus(spark, folder)
-    asked = questions(spark, folder).withColumn("clean", strip_punctuation(F.col("question")))
+    """All three scores over all documents: BM25+ on cleaned, the others on raw texts.
+
+    Questions that the cleaning chain empties are not asked.
+    """
+    docs = corpus(spark, folder)
+    clean_docs = docs.withColumn("content", clean_for_embedding(F.col("content")))
+    asked, _ = rt.clean_questions(questions(spark, folder))
     cleaned = asked.select("query_id", F.col("clean").alias("question"))
     return rt.hybrid_top_k(
-        lx.store_index(plain_docs, asked=lx.query_terms(cleaned)),
+        lx.store_index(clean_docs, asked=lx.query_terms(cleaned)),
         lx.store_index(docs, word_tokens),
         hashed_embedding(docs, "chunk_id", F.col("content")),
         asked,
@@ -240,11 +245,15 @@ def hybrid(spark, folder, k=5):
     )
 
 
-HYBRID_CTES = f"""{bm25_ctes()}, {tfidf_ctes()}, {hashed_ctes()},
-fused AS (SELECT v.query_id, v.chunk_id,
+CLEAN_SQL = clean_sql("text")
+HYBRID_CTES = f"""{bm25_ctes(CLEAN_SQL)}, {tfidf_ctes()}, {hashed_ctes()},
+fused AS (SELECT p.query_id, p.chunk_id,
   0.4::DOUBLE * coalesce(b.score, 0) + 0.3::DOUBLE * coalesce(t.cosine, 0)
-  + 0.3::DOUBLE * v.cosine AS fused
-  FROM hv_all v LEFT JOIN bm_all b USING (query_id, chunk_id)
+  + 0.3::DOUBLE * coalesce(v.cosine, 0) AS fused
+  FROM (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark, documents
+    WHERE {clean_sql("documents.text")} <> '' AND {clean_sql("benchmark.text")} <> '') p
+  LEFT JOIN hv_all v USING (query_id, chunk_id)
+  LEFT JOIN bm_all b USING (query_id, chunk_id)
   LEFT JOIN tf_all t USING (query_id, chunk_id)),
 best AS ({ranked("fused", 5, "fused")})"""
 

@@ -8,20 +8,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyseek.functions.lexicon import Lexicon
 from tallyseek.functions.text import clean_for_ranking, strip_punctuation, whitespace_tokens
 from tallyseek.operators import lexical as lx
 from tallyseek.operators.chunking import chunk_texts
 from tallyseek.operators.sizing import run_folder
 from tallyseek.plans.facts import corpus, questions, table
 from tallyseek.plans.queries_retrieval import plain_corpus, plain_questions, rounded
+from tallyseek.plans.queries_text import clean_sql
 from tallyseek.plans.registry import query
-from tallyseek.plans.sqltext import bm25_ctes, plain, quoted, ranked, tokens
+from tallyseek.plans.sqltext import bm25_ctes, plain, quoted, ranked, tfidf_ctes, tokens, words
 from tallyseek.sources import readers as rd
 from tallyseek.sources import tables as tb
 from tallyseek.streaming.ingest import read_ingested, start_ingest
 from tallyseek.streaming.questions import start_answers
 
 
+# No word tables: tokens stay as they are written.
+PLAIN = Lexicon({}, {}, {})
+
+
 @query(
     "csv_round_trip",
     """SELECT doc_id::VARCHAR AS chunk_id, CAST(length(text) AS INTEGER) AS characters,
@@ -45,7 +51,7 @@ def csv_round_trip(spark, folder):
   md5(text) AS digest FROM documents""",
 )
 def json_corpus(spark, folder):
-    """Documents as one `{id: text}` object per source, written as files and read back."""
+    """Documents as `{id: text}` objects of some 200 each, one per line, written and read back."""
     path = run_folder(spark, "corpus-json")
     docs = corpus(spark, folder).select(
         "source", F.concat_ws("-", "source", "chunk_id").alias("key"), "content"
@@ -124,6 +130,33 @@ def hot_ids(spark, folder):
     return repaired.select("id", "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+REPAIRED_CTE = """r AS (SELECT CASE WHEN n_nationkey = 4 THEN NULL WHEN n_nationkey = 5 THEN '1_1'
+    ELSE (n_regionkey + 1)::VARCHAR END AS id, n_name FROM nation),
+t AS (SELECT id, n_name FROM r UNION ALL SELECT id, n_name FROM r),
+a AS (SELECT coalesce(id, 'null') AS id, n_name,
+  row_number() OVER (PARTITION BY coalesce(id, 'null') ORDER BY n_name) - 1 AS i FROM t),
+b AS (SELECT CASE WHEN i > 0 THEN id || '_' || i ELSE id END AS id, n_name FROM a),
+c AS (SELECT id, n_name, row_number() OVER (PARTITION BY id ORDER BY n_name) - 1 AS i FROM b),
+d AS (SELECT CASE WHEN i > 0 THEN id || '_' || i ELSE id END AS id, n_name FROM c),
+e AS (SELECT id, n_name, row_number() OVER (PARTITION BY id ORDER BY n_name) - 1 AS i FROM d)"""
+
+
+@query(
+    "repaired_duplicates",
+    f"""WITH {REPAIRED_CTE} SELECT CASE WHEN i > 0 THEN id || '_' || i ELSE id END AS id, n_name
+FROM e""",
+)
+def repaired_duplicates(spark, folder):
+    """Nations twice over: equal rows, a missing id, and an id that a repair would also give."""
+    key = F.col("n_nationkey")
+    rows = table(spark, folder, "nation").select(
+        F.when(key == 4, F.lit(None).cast("string")).when(key == 5, F.lit("1_1"))
+        .otherwise((F.col("n_regionkey") + 1).cast("string")).alias("id"),
+        "n_name",
+    )
+    return tb.repair_ids(rows.unionByName(rows), "id", ["n_name"])
+
+
 @query(
     "union_sources",
     """SELECT id, source, CAST(length(text) AS INTEGER) AS characters FROM (
@@ -160,10 +193,11 @@ def list_sources(spark, folder):
     "SELECT source, count(*) AS chunks FROM documents WHERE source <> 'src3' GROUP BY source",
 )
 def delete_source(spark, folder):
-    """Chunks stored by source, one source dropped, the rest listed."""
+    """Chunks stored, one source removed from the stored table, the rest listed."""
     path = run_folder(spark, "chunks")
     tb.write_chunks(corpus(spark, folder), path)
-    return tb.list_sources(tb.delete_source(spark.read.parquet(path), "src3"))
+    tb.delete_stored_source(spark, path, "src3")
+    return tb.list_sources(tb.read_stored_chunks(spark, path))
 
 
 @query(
@@ -179,6 +213,34 @@ def reindex_after_delete(spark, folder):
     return tb.reindex(left, run_folder(spark, "index")).terms
 
 
+@query(
+    "reindex_all",
+    f"""WITH {tfidf_ctes("CASE WHEN source <> 'src3' THEN text ELSE '' END")},
+{bm25_ctes("CASE WHEN source <> 'src3' THEN text ELSE '' END")}
+SELECT 'term' AS kind, term AS key, df::DOUBLE AS value FROM bm_df
+UNION ALL SELECT 'norm', chunk_id::VARCHAR, round(norm, 6) FROM tf_norm
+UNION ALL SELECT 'vector', doc_id::VARCHAR, len({words("text")})::DOUBLE FROM documents
+  WHERE source <> 'src3' AND len({words("text")}) > 0""",
+)
+def reindex_all(spark, folder):
+    """Terms, TF-IDF norms and word vectors rebuilt after a delete, read back from their tables."""
+    path = run_folder(spark, "indexes")
+    left = tb.delete_source(corpus(spark, folder), "src3")
+    cleaned = tb.delete_source(plain_corpus(spark, folder), "src3")
+    tb.reindex_all(cleaned, left, path)
+    terms = tb.read_index(spark, f"{path}/bm25").terms.select(
+        F.lit("term").alias("kind"), F.col("term").alias("key"), F.col("df").cast("double").alias("value")
+    )
+    norms = spark.read.parquet(f"{path}/tfidf/norms").select(
+        F.lit("norm").alias("kind"), F.col("chunk_id").cast("string").alias("key"), F.round("norm", 6).alias("value")
+    )
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    vectors = tb.read_embeddings(spark, f"{path}/vectors").select(
+        F.lit("vector").alias("kind"), F.col("chunk_id").cast("string").alias("key"), total.alias("value")
+    )
+    return terms.unionByName(norms).unionByName(vectors)
+
+
 @query(
     "stored_index_top3",
     f"""WITH {bm25_ctes()} SELECT query_id, chunk_id, round(score, 6) AS score,
@@ -224,7 +286,7 @@ def result_tables(spark, folder):
     "chunk_counts",
 )
 def chunk_counts(spark, folder):
-    """Pages without markup, chunked; chunks and longest chunk per page."""
+    """Pages with their markup, chunked; chunks and longest chunk per page."""
     texts = table(spark, folder, "pages").select(
         F.col("page_id").cast("string").alias("source"), F.col("html").alias("content")
     )
@@ -256,7 +318,16 @@ def lemmatized(spark, folder):
     return lemmatize(docs, lemmas)
 
 
-@query("cleaned_for_ranking")
+@query(
+    "cleaned_for_ranking",
+    f"""WITH l AS (SELECT DISTINCT token FROM (SELECT unnest(string_split(lower(text), ' ')) AS token
+  FROM conversations) WHERE length(token) > 8),
+c AS (SELECT conv_id || '-' || turn AS chunk_id, {tokens(clean_sql("text"))} AS tk FROM conversations),
+w AS (SELECT chunk_id, unnest(tk) AS t, generate_subscripts(tk, 1) AS i FROM c),
+j AS (SELECT chunk_id, string_agg(coalesce(substr(token, 1, 8), t), ' ' ORDER BY i) AS clean
+  FROM w LEFT JOIN l ON token = t GROUP BY chunk_id)
+SELECT chunk_id, coalesce(clean, '') AS clean FROM c LEFT JOIN j USING (chunk_id)""",
+)
 def cleaned_for_ranking(spark, folder):
     """The cleaning chain plus lemmas over every conversation turn."""
     turns = table(spark, folder, "conversations").select(
@@ -287,6 +358,27 @@ def stream_ingest(spark, folder):
     return usable.agg(F.count_distinct("source").alias("documents"))
 
 
+@query(
+    "stream_reingest",
+    f"""WITH d AS (SELECT doc_id, {tokens(plain("text"))} AS tk FROM documents WHERE len({tokens(plain("text"))}) > 0)
+SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(tk) AS term FROM d) GROUP BY term""",
+)
+def stream_reingest(spark, folder):
+    """Every document arrives twice, first with another text; the term table holds the second only."""
+    path, inbox = run_folder(spark, "reingest"), run_folder(spark, "inbox")
+    docs = table(spark, folder, "documents")
+    for text in (F.concat(F.lit("earlier "), F.reverse("text")), F.col("text")):
+        # Bare words, so that the splitter and the cleaning chain leave them as they are.
+        bare = F.array_join(whitespace_tokens(strip_punctuation(text)), " ")
+        arrived = docs.select(F.col("doc_id").cast("string").alias("source"), bare.alias("content"))
+        arrived.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(arrived.schema).parquet(inbox)
+        start_ingest(stream, path, PLAIN).awaitTermination()
+    chunks, index = read_ingested(spark, path)
+    owner = index.postings.join(chunks.select("chunk_id", "source"), "chunk_id")
+    return owner.groupBy("term").agg(F.count_distinct("source").alias("df"))
+
+
 @query(
     "stream_answers",
     f"""WITH {bm25_ctes()} SELECT query_id, chunk_id, round(score, 6) AS score,
@@ -312,3 +404,85 @@ def stream_answers(spark, folder):
 
     start_answers(asked, answer, path).awaitTermination()
     return rounded(spark.read.parquet(f"{path}/answers"))
+
+
+@query(
+    "ranking_files",
+    f"""WITH {bm25_ctes()}, {tfidf_ctes()},
+a AS ({ranked("bm_all", 3)}), b AS ({ranked("tf_all", 3, "cosine")}),
+u AS (SELECT 'bm25plus' AS model, query_id, chunk_id, rank FROM a
+  UNION ALL SELECT 'tf_idf', query_id, chunk_id, rank FROM b)
+SELECT model, md5(text) AS question, string_agg(chunk_id::VARCHAR, ' ' ORDER BY rank) AS doc_id
+FROM u JOIN benchmark ON item_id = query_id GROUP BY model, query_id, text""",
+)
+def ranking_files(spark, folder):
+    """Two rankers' result files, written and read back."""
+    path = run_folder(spark, "rankings")
+    asked = questions(spark, folder)
+    tb.write_ranking(
+        {
+            "bm25plus": lx.bm25_top_k(plain_corpus(spark, folder), plain_questions(spark, folder), 3),
+            "tf_idf": lx.tfidf_top_k(corpus(spark, folder), asked, 3),
+        },
+        asked,
+        path,
+    )
+    parts = [
+        rd.read_csv(spark, f"{path}/{model}").select(
+            F.lit(model).alias("model"), F.md5("question").alias("question"), "doc_id"
+        )
+        for model in ("bm25plus", "tf_idf")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "files_by_type",
+    """SELECT 'txt' AS kind, md5(string_agg(n_name, chr(10) ORDER BY n_nationkey)) AS digest, true AS clean
+FROM nation GROUP BY n_regionkey
+UNION ALL SELECT 'csv', md5('r_regionkey = ' || r_regionkey || ', r_name = ' || r_name), false FROM region
+UNION ALL SELECT 'json', md5('{' || chr(10) || '  "' || r_name || '": ' || r_regionkey || chr(10) || '}'), true FROM region""",
+)
+def files_by_type(spark, folder):
+    """Nations as text files, regions as CSV rows and JSON files, read by their extensions."""
+    path = run_folder(spark, "files")
+    nations, regions = table(spark, folder, "nation"), table(spark, folder, "region")
+    names = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: r["n_name"]), "\n"
+    )
+    lists = nations.groupBy("n_regionkey").agg(names.alias("value")).select("value", F.col("n_regionkey").alias("file"))
+    lists.write.partitionBy("file").option("lineSep", "\u0001").text(f"{path}/txt")
+    objects = regions.select(
+        F.concat(F.lit('{"'), "r_name", F.lit('": '), F.col("r_regionkey").cast("string"), F.lit("}")).alias("value"),
+        F.col("r_regionkey").alias("file"),
+    )
+    objects.write.partitionBy("file").text(f"{path}/json")
+    regions.select("r_regionkey", "r_name").coalesce(1).write.option("header", True).csv(f"{path}/csv")
+    # Spark names all text files .txt, so the JSON files are read by their own reader.
+    texts = rd.read_texts(spark, f"{path}/txt/*").select(
+        F.lit("txt").alias("kind"), F.rtrim(F.translate("content", "\u0001", "")).alias("content"), F.lit(True).alias("clean")
+    )
+    rows = rd.read_chunks(spark, [f"{path}/csv/*.csv"]).select(F.lit("csv").alias("kind"), "content", "clean")
+    json_texts = rd.read_json_texts(spark, f"{path}/json/*").select(
+        F.lit("json").alias("kind"), "content", F.lit(True).alias("clean")
+    )
+    every = texts.unionByName(rows).unionByName(json_texts)
+    return every.select("kind", F.md5("content").alias("digest"), "clean")
+
+
+@query(
+    "built_once",
+    "SELECT count(*) * 2 AS chunks, count(DISTINCT source) AS sources, 1::BIGINT AS builds FROM documents",
+)
+def built_once(spark, folder):
+    """A table built at the first request and read at the second."""
+    path, builds = run_folder(spark, "built"), []
+
+    def build():
+        builds.append(1)
+        return corpus(spark, folder)
+
+    first, second = (tb.read_or_build(spark, path, build) for _ in range(2))
+    return first.unionByName(second).agg(
+        F.count("*").alias("chunks"), F.count_distinct("source").alias("sources")
+    ).withColumn("builds", F.lit(len(builds)).cast("long"))

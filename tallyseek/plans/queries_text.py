@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from tallyseek.functions import text as tx
-from tallyseek.functions.lexicon import Lexicon, century_phrases, number_digits
+from tallyseek.functions.lexicon import NUMBER_WORDS, Lexicon, century_phrases
 from tallyseek.operators import corpus_stats as cs
 from tallyseek.operators.chunking import chunk_texts
 from tallyseek.plans.facts import corpus, table
 from tallyseek.plans.registry import query
-from tallyseek.plans.sqltext import BLANK, plain, quoted, tokens, words
-
-
-def english_lexicon() -> Lexicon:
-    return Lexicon().with_stop_words(StopWordsRemover.loadDefaultStopWords("english"))
+from tallyseek.plans.sqltext import BLANK, normal_sql, plain, quoted, tokens, words
 
 
 # The words Spark removes by default for English, as the oracle needs them.
@@ -70,9 +65,9 @@ def _collapsed(text: str) -> str:
     return f"trim(regexp_replace({text}, '{BLANK}', ' ', 'g'))"
 
 
-def _clean_sql(text: str, stop_words) -> str:
+def clean_sql(text: str, stop_words=("",)) -> str:
     base = plain(_no_emoji(_no_special(_no_urls(_no_tags(_fixed(text))))))
-    toks = _map_tokens_sql(_map_tokens_sql(tokens(base), century_phrases()), number_digits())
+    toks = _map_tokens_sql(_map_tokens_sql(tokens(base), century_phrases()), NUMBER_WORDS)
     toks = tokens(f"array_to_string({toks}, ' ')")
     listed = ", ".join(quoted(w) for w in sorted(stop_words))
     return f"array_to_string(list_filter({toks}, lambda t: t NOT IN ({listed})), ' ')"
@@ -80,7 +75,7 @@ def _clean_sql(text: str, stop_words) -> str:
 
 @query(
     "clean_text",
-    f"SELECT doc_id AS chunk_id, {_clean_sql('text', ENGLISH_STOP_WORDS)} AS clean FROM documents",
+    f"SELECT doc_id AS chunk_id, {clean_sql('text', ENGLISH_STOP_WORDS)} AS clean FROM documents",
 )
 def clean_text(spark, folder):
     """The full cleaning chain over every document."""
@@ -104,7 +99,7 @@ def strip_html(spark, folder):
     f"""SELECT conv_id, turn, {_fixed("text")} AS fixed, {_no_special("text")} AS no_special,
   {_no_emoji("text")} AS no_emoji, {plain("text")} AS no_punctuation,
   array_to_string({_map_tokens_sql(tokens("lower(text)"), century_phrases())}, ' ') AS centuries,
-  array_to_string({_map_tokens_sql(tokens("text"), number_digits())}, ' ') AS digits,
+  array_to_string({_map_tokens_sql(tokens("text"), NUMBER_WORDS)}, ' ') AS digits,
   {_collapsed("text")} AS collapsed,
   CAST(len({tokens("text")}) AS INTEGER) AS blank_tokens,
   CAST(len({words("text")}) AS INTEGER) AS word_tokens,
@@ -209,19 +204,44 @@ def correlation_matrix(spark, folder):
     return matrix.withColumn("correlation", F.round("correlation", 6))
 
 
-@query("noisy_sales")
+# Ukrainian phrases by part size, with what the chain leaves of them.
+PHRASES = (
+    ("у XIX столітті", "у 19 століття столітті"),
+    ("два мільйони кілограмів", "2 мільйони кг"),
+    ("Росія і Європа нині", "рф і єс сьогодні"),
+    ("сорок тисяч років", "40 1000 рік"),
+    ("українська вулиця", "укр вул"),
+)
+
+
+@query(
+    "ukrainian_words",
+    "SELECT p_partkey, CASE p_size % 5 "
+    + " ".join(f"WHEN {i} THEN {quoted(clean)}" for i, (_, clean) in enumerate(PHRASES))
+    + " END || ' ' || lower(replace(p_brand, '#', '')) AS clean FROM part",
+)
+def ukrainian_words(spark, folder):
+    """Centuries, number words and word forms, each met by some part's text."""
+    raw = F.array(*[F.lit(text) for text, _ in PHRASES])
+    brand = F.regexp_replace("p_brand", "[^A-Za-z0-9]", "")
+    text = F.concat_ws(" ", F.get(raw, F.col("p_size") % len(PHRASES)), brand)
+    return table(spark, folder, "part").select(
+        "p_partkey", tx.clean_for_embedding(text).alias("clean")
+    )
+
+
+@query(
+    "noisy_sales",
+    f"""SELECT o_orderkey, round(o_totalprice * (1 + 0.14 * {normal_sql("o_orderkey", 42)}), 2) AS noisy
+FROM orders""",
+)
 def noisy_sales(spark, folder):
-    """Multiplicative noise keyed by the row, summarised: mean and deviation of the factor."""
+    """Multiplicative noise keyed by the row, order by order."""
     orders = table(spark, folder, "orders")
     noisy = cs.with_multiplicative_noise(
         orders.withColumn("noisy", F.col("o_totalprice")), "noisy", F.col("o_orderkey")
     )
-    factor = F.col("noisy") / F.col("o_totalprice") - 1
-    return noisy.agg(
-        F.count("*").alias("rows"),
-        F.round(F.avg(factor), 6).alias("mean"),
-        F.round(F.stddev_pop(factor), 6).alias("deviation"),
-    )
+    return noisy.select("o_orderkey", F.round("noisy", 2).alias("noisy"))
 
 
 @query("chunk_documents")

@@ -25,6 +25,20 @@ def plain(text: str) -> str:
     return f"translate(lower(translate({text}, {quoted(ASCII_PUNCTUATION)}, '')), '–—', '  ')"
 
 
+def normal_sql(key: str, seed: int | str) -> str:
+    """The standard normal draw of `corpus_stats.keyed_normal`."""
+    digest = f"md5({key}::VARCHAR || '/' || ({seed})::VARCHAR)"
+
+    def uniform(start: int) -> str:
+        return f"('0x' || substr({digest}, {start}, 12))::BIGINT::DOUBLE"
+
+    scale = float(1 << 48)
+    return (
+        f"(sqrt(-2 * ln(({uniform(1)} + 1) / {scale}::DOUBLE))"
+        f" * cos(2 * 3.141592653589793::DOUBLE * {uniform(13)} / {scale}::DOUBLE))"
+    )
+
+
 def ranked(scores: str, k: int, score: str = "gain") -> str:
     """Top k rows of a CTE by score, ties to the smaller id."""
     return (

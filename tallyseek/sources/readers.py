@@ -42,14 +42,17 @@ MISSING_TEXTS = (
 EXTRACTED_EXTENSIONS = (".pdf", ".docx")
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
     """Header CSV with quoted multi-line cells; a UTF-8 mark is dropped, blanks are data.
 
-    Without a schema every column is text, which needs no extra pass over the files.
+    With `multi_line=False`, for files without line ends inside cells, one file is split over
+    many tasks.  Without a schema every column is text, which needs no extra pass over the files.
     """
     reader = spark.read.options(
         header=True,
-        multiLine=True,
+        multiLine=multi_line,
         quote='"',
         escape='"',
         ignoreLeadingWhiteSpace=False,
@@ -66,10 +69,19 @@ def read_retail(spark: SparkSession, path) -> DataFrame:
 
 
 def read_corpus_json(spark: SparkSession, path, whole_files: bool = True) -> DataFrame:
-    """Objects `{id: text}` as `doc_id, content`: one per file, or one per line."""
-    objects = spark.read.text(path, wholetext=whole_files)
-    entries = F.from_json("value", "map<string,string>")
-    return objects.select(F.explode(entries).alias("doc_id", "content"))
+    """Objects `{id: text}` as `doc_id, content`: one per file, or one per line.
+
+    Text that is no object is an error, and of repeated keys of an object the last counts.  A
+    whole file is one row, so a large corpus belongs in line-wise files.
+    """
+    objects = spark.read.text(path, wholetext=whole_files).filter(F.trim("value") != "")
+    entries = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
+    listed = objects.select(F.monotonically_increasing_id().alias("_object"), F.posexplode(F.map_entries(entries)).alias("_at", "_entry"))
+    return (
+        listed.groupBy("_object", F.col("_entry.key").alias("doc_id"))
+        .agg(F.max_by("_entry.value", "_at").alias("content"))
+        .drop("_object")
+    )
 
 
 def read_texts(spark: SparkSession, path, skip_unreadable: bool = False) -> DataFrame:
@@ -158,9 +170,6 @@ def read_chunks(spark: SparkSession, paths: list[str], extract=None) -> DataFram
 
 
 def read_word_list(spark: SparkSession, path) -> list[str]:
-    """Words of a one-per-line file, for `Lexicon.with_stop_words`; at most 100,000."""
+    """Words of a one-per-line file, for `Lexicon.with_stop_words`."""
     words = spark.read.text(path).select(F.trim("value").alias("word")).filter("word <> ''")
-    found = [row.word for row in words.distinct().limit(100_001).collect()]
-    if len(found) > 100_000:
-        raise ValueError("a word list this long belongs in a table")
-    return sorted(found)
+    return sorted(row.word for row in words.distinct().collect())

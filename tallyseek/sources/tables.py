@@ -7,17 +7,53 @@ from dataclasses import replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyseek.functions.text import whitespace_tokens
-from tallyseek.operators.lexical import LexicalIndex, index_of, term_rows
+from tallyseek.functions.text import whitespace_tokens, word_tokens
+from tallyseek.operators.dense import hashed_embedding
+from tallyseek.operators.lexical import (
+    LexicalIndex,
+    index_of,
+    term_rows,
+    tfidf_norms,
+    tfidf_weights,
+)
 from tallyseek.operators.positions import with_group_position
 from tallyseek.operators.ranking import ranked_lists
+from tallyseek.operators.sizing import materialize
+
+
+# Folders of a chunk table, and files per folder and write.
+SOURCE_BUCKETS, BUCKET_FILES = 64, 8
+
+
+def source_bucket(source: Column) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(SOURCE_BUCKETS)).cast("int")
+
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per source, so reading or deleting a source touches only its files."""
-    chunks.write.mode(mode).partitionBy("source").parquet(path)
+    """Chunks in folders by a hash of their source; `source` stays a text column.
+
+    Rows are placed first, so a folder gets a few files however many sources or tasks there
+    are, and a source with most of the rows still spreads over several writers.
+    """
+    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKET_FILES))
+    placed = chunks.withColumn("bucket", source_bucket(F.col("source")))
+    placed.repartition(F.col("bucket"), salt).write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def read_stored_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def delete_stored_source(spark: SparkSession, path: str, source: str | None) -> None:
+    """Remove a source's rows from a stored chunk table; only its folder is rewritten."""
+    bucket = spark.range(1).select(source_bucket(F.lit(source).cast("string"))).first()[0]
+    stored = spark.read.parquet(path).filter(F.col("bucket") == bucket).drop("bucket")
+    # Stored aside first: the folder that is read is the one that is overwritten.
+    left = materialize(delete_source(stored, source))
+    left.write.mode("overwrite").parquet(f"{path}/bucket={bucket}")
 
 
 def write_chunk_csv(chunks: DataFrame, path: str) -> None:
@@ -90,26 +126,36 @@ def repair_ids(chunks: DataFrame, key: str = "chunk_id", order=("source", "pos")
     """Make ids unique: the first row keeps its id, the i-th repeat becomes `id_i`.
 
     Only the narrow keys are numbered, in a range sort that splits one hot id over many
-    tasks; `order` must identify a row.
+    tasks.  Rows carry a number of their own, so rows that are equal in `order` are told apart
+    too.  A new id that another row has already is repaired in turn; null ids are one id, `null`.
     """
-    keys = [key, *order]
-    numbered = with_group_position(chunks.select(*keys), [key], list(order), "_repeat")
-    names = {c: f"_k{i}" for i, c in enumerate(keys)}
-    repeats = numbered.filter(F.col("_repeat") > 0).withColumnsRenamed(names)
-    same_row = reduce(
-        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(name)) for c, name in names.items()]
+    rows = materialize(
+        chunks.withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit("null"))).withColumn(
+            "_row", F.monotonically_increasing_id()
+        )
     )
-    # A missing repeat number is skipped by the join, so first rows keep their id.
-    repaired = F.concat_ws("_", F.col(key).cast("string"), F.col("_repeat").cast("string"))
+    ids = rows.select("_row", F.col(key).alias("_id"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    places = [f"_o{i}" for i in range(len(order))] + ["_row"]
+    while True:
+        numbered = with_group_position(ids, ["_id"], places, "_repeat")
+        ids = materialize(
+            numbered.withColumn(
+                "_id",
+                F.when(F.col("_repeat") > 0, F.concat_ws("_", "_id", F.col("_repeat").cast("string"))).otherwise(F.col("_id")),
+            ).drop("_repeat")
+        )
+        if ids.groupBy("_id").count().filter("count > 1").isEmpty():
+            break
     return (
-        chunks.join(repeats, same_row, "left")
-        .withColumn(key, repaired)
+        rows.drop(key)
+        .join(ids.select("_row", F.col("_id").alias(key)), "_row")
         .select(*chunks.columns)
     )
 
 
-def delete_source(chunks: DataFrame, source: str) -> DataFrame:
-    return chunks.filter(F.col("source") != source)
+def delete_source(chunks: DataFrame, source: str | None) -> DataFrame:
+    """All rows of other sources; rows without a source are a source of their own."""
+    return chunks.filter(~F.col("source").eqNullSafe(F.lit(source)))
 
 
 def list_sources(chunks: DataFrame) -> DataFrame:
@@ -118,10 +164,25 @@ def list_sources(chunks: DataFrame) -> DataFrame:
 
 
 def reindex(chunks: DataFrame, path: str, tokenizer=whitespace_tokens) -> LexicalIndex | None:
-    """Rebuild all index tables; None when no chunk is left."""
-    if not chunks.head(1):
-        return None
-    return write_index(chunks, path, tokenizer)
+    """Rebuild the term index; None, and an index without rows, when no chunk is left."""
+    index = write_index(chunks, path, tokenizer)
+    return index if chunks.head(1) else None
+
+
+def reindex_all(cleaned: DataFrame, raw: DataFrame, path: str) -> None:
+    """Rebuild the three indexes of a corpus: terms for BM25+, TF-IDF with norms, vectors.
+
+    `cleaned` and `raw` hold `chunk_id, content`.  A corpus without chunks leaves empty tables, so
+    nothing of an earlier corpus can be found.
+    """
+    spark = raw.sparkSession
+    write_index(cleaned, f"{path}/bm25")
+    words = write_index(raw, f"{path}/tfidf", word_tokens)
+    norms = tfidf_norms(tfidf_weights(words))
+    norms.write.mode("overwrite").parquet(f"{path}/tfidf/norms")
+    vectors = hashed_embedding(raw, "chunk_id", F.col("content"))
+    write_embeddings(vectors, f"{path}/vectors")
+    spark.catalog.refreshByPath(path)
 
 
 def read_or_build(
@@ -136,7 +197,10 @@ def read_or_build(
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    predictions.write.mode("append").partitionBy("model").parquet(path)
+    """Predictions by model; a model that is stored again replaces its earlier rows."""
+    predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "model"
+    ).parquet(path)
 
 
 def read_predictions(spark: SparkSession, path: str, model: str) -> DataFrame:
