@@ -221,10 +221,21 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
 
 
 def candidate_links(texts: DataFrame) -> DataFrame:
-    """Stars: every text of a band bucket with the bucket's smallest digest, once per pair."""
+    """Stars: every text of a band bucket is linked with the bucket's smallest digest, its head.
+
+    A text has at most BANDS heads.  It is linked to the smallest of them only, and that one to the others; such
+    links between heads repeat from text to text and are kept once, so a large group has little more links than texts.
+    """
     keys = texts.select("digest", F.explode("bands").alias("band"))
     heads = keys.groupBy("band").agg(F.min("digest").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return keys.join(heads, "band").filter("a <> digest").select("a", F.col("digest").alias("b")).distinct()
+    mine = (
+        keys.join(heads, "band")
+        .filter("a <> digest")
+        .groupBy("digest")
+        .agg(F.sort_array(F.collect_set("a")).alias("heads"))
+    )
+    ends = F.concat(F.array("digest"), F.slice("heads", F.lit(2), F.size("heads")))
+    return mine.select(F.get("heads", F.lit(0)).alias("a"), F.explode(ends).alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
