@@ -76,7 +76,8 @@ def read_corpus_json(spark: SparkSession, path, whole_files: bool = True) -> Dat
     """
     objects = spark.read.text(path, wholetext=whole_files).filter(F.trim("value") != "")
     entries = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
-    listed = objects.select(F.monotonically_increasing_id().alias("_object"), F.posexplode(F.map_entries(entries)).alias("_at", "_entry"))
+    numbered = objects.withColumn("_object", F.monotonically_increasing_id())
+    listed = numbered.select("_object", F.posexplode(F.map_entries(entries)).alias("_at", "_entry"))
     return (
         listed.groupBy("_object", F.col("_entry.key").alias("doc_id"))
         .agg(F.max_by("_entry.value", "_at").alias("content"))

@@ -183,3 +183,37 @@ def test_prompts(spark):
     ).first()
     assert row.a == "Context: abc\nQuestion: q\nAnswer:"
     assert row.b == "before c after"
+
+
+def _hybrid(spark, docs, asked, vectors, asked_vectors):
+    from tallyseek.functions.text import word_tokens
+    from tallyseek.plans.retrieval import hybrid_top_k
+
+    texts = spark.createDataFrame(docs, "chunk_id int, content string")
+    questions = spark.createDataFrame(asked, "query_id int, question string, clean string")
+    return hybrid_top_k(
+        lx.store_index(texts), lx.store_index(texts, word_tokens),
+        spark.createDataFrame(vectors, "chunk_id int, embedding array<float>"), questions,
+        spark.createDataFrame(asked_vectors, "query_id int, embedding array<float>"), 2,
+    ).orderBy("query_id", "rank").collect()
+
+
+def test_hybrid_keeps_a_document_without_a_vector(spark):
+    docs = [(1, "я"), (2, "zz other"), (3, "third text")]
+    hits = _hybrid(spark, docs, [(1, "я zz", "я zz")], [(2, [1.0, 0.0]), (3, [0.0, 1.0])], [(1, [1.0, 0.0])])
+    assert {h.chunk_id for h in hits} == {1, 2}
+
+
+def test_hybrid_without_any_question_vector(spark):
+    docs = [(1, "a b"), (2, "c d"), (3, "e f")]
+    vectors = [(i, [float(i)] * 8) for i in (1, 2, 3)]
+    hits = _hybrid(spark, docs, [(1, "c", "c"), (2, "e", "e")], vectors, [])
+    assert [h.chunk_id for h in hits if h.rank == 1] == [2, 3]
+
+
+def test_terms_are_counted_in_the_row(spark):
+    docs = spark.createDataFrame([(1, "b a b c b"), (2, ""), (3, None), (4, " ")], "chunk_id int, content string")
+    rows = lx.term_rows(docs)
+    assert "content" not in rows._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+    got = {(r.chunk_id, r.term): (r.dl, r.tf) for r in rows.collect()}
+    assert got == {(1, ""): (5, 1), (1, "a"): (5, 1), (1, "b"): (5, 3), (1, "c"): (5, 1), (4, ""): (0, 1)}

@@ -63,6 +63,7 @@ def test_index_round_trip_and_empty_reindex(spark, tmp_path):
     best = lx.bm25_top_k(None, asked, 1, index=tb.read_index(spark, path)).first()
     assert best.chunk_id == 2
     assert tb.reindex(chunks.filter("chunk_id > 9"), path) is None
+    assert tb.read_index(spark, path).terms.count() == 0
     with pytest.raises(FileNotFoundError):
         tb.read_index(spark, str(tmp_path / "nothing"))
 
@@ -90,3 +91,41 @@ def test_ingest_stream_appends(spark, tmp_path):
     assert {r.chunk_id for r in chunks.collect()} == {"a#1", "b#1"}
     assert {r.term: r.df for r in index.terms.collect()}["текст"] == 2
     assert index.corpus.first().n == 2
+
+
+def test_same_file_names_in_several_folders(spark):
+    """Rows that are equal in every order column are still told apart."""
+    rows = [("1", "x.txt", 1)] * 3 + [("1_1", "y.txt", 1), (None, "x.txt", 2), (None, "x.txt", 2)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, source string, pos int")
+    got = sorted(r.chunk_id for r in tb.repair_ids(chunks).collect())
+    assert len(got) == 6 == len(set(got))
+    assert {"1", "1_1", "1_2", "null", "null_1"} <= set(got)
+
+
+def test_stored_source_is_deleted(spark, tmp_path):
+    rows = [(i, s, "t") for i, s in enumerate(["007", "12", None, "007", "a/b"])]
+    path = str(tmp_path / "chunks")
+    tb.write_chunks(spark.createDataFrame(rows, "chunk_id int, source string, content string"), path)
+    tb.delete_stored_source(spark, path, "007")
+    left = tb.read_stored_chunks(spark, path)
+    assert sorted(str(r.source) for r in left.collect()) == ["12", "None", "a/b"]
+    assert dict(left.dtypes)["source"] == "string"
+    tb.delete_stored_source(spark, path, None)
+    assert {r.source for r in tb.read_stored_chunks(spark, path).collect()} == {"12", "a/b"}
+
+
+def test_predictions_of_a_model_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "p")
+    for model, value in (("a", 1.0), ("b", 2.0), ("a", 3.0)):
+        tb.write_predictions(spark.createDataFrame([(value, model)], "x double, model string"), path)
+    assert [r.x for r in tb.read_predictions(spark, path, "a").collect()] == [3.0]
+    assert [r.x for r in tb.read_predictions(spark, path, "b").collect()] == [2.0]
+
+
+def test_corpus_json_faults(spark, tmp_path):
+    (tmp_path / "twice.json").write_text('{"1": "old", "2": "b", "1": "new"}')
+    rows = rd.read_corpus_json(spark, str(tmp_path / "twice.json")).collect()
+    assert {(r.doc_id, r.content) for r in rows} == {("1", "new"), ("2", "b")}
+    (tmp_path / "broken.json").write_text('{"1": "a", ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        rd.read_corpus_json(spark, str(tmp_path / "broken.json")).collect()
