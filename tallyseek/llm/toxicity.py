@@ -25,9 +25,11 @@ from tallyseek.llm.common import bounded_sample
 # Bounds of the fitted model.
 TRAIN_DOCS = 12_000
 KEEP_CANDIDATES = 20_000
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 LEAST_SUPPORT = 4
 LEAST_PRECISION = 0.9
+# A second explanation must serve this share of the toxic documents, more than a family of copies holds.
+SECOND_SHARE = 0.03
 
 # Fixed closed-class words of the grammar (English, German, French, Spanish).
 TARGETS = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer tu toi ton ta vous votre tú ti usted ustedes vosotros".split())
@@ -188,29 +190,41 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _cover(toxic_docs: list[list[str]], counts: dict[str, tuple[int, int]]) -> list[str]:
-    """Greedy cover: the feature that explains most toxic documents not yet explained, again and again.
+    """Greedy cover, twice: the feature that explains most toxic documents not yet explained, again and again.
 
-    Copies of one text share all their words; once an insult explains them, their other words gain nothing.  Of
+    The second pass looks for another explanation of each document, so that an insult is learned even where others
+    stand beside it.  Copies of one text share all their words; once an insult explains them, their other words gain nothing.  Of
     equals, the one with fewer clean documents, then the longer, then the first by code point.
     """
     holders: dict[str, set[int]] = {}
     for i, found in enumerate(toxic_docs):
         for f in found:
             holders.setdefault(f, set()).add(i)
-    left, chosen = set(range(len(toxic_docs))), []
-    while left:
-        best = max(
-            ((len(h & left), -counts[f][0], len(f), f) for f, h in holders.items()),
-            default=(0, 0, 0, ""),
-        )
-        if best[0] < LEAST_SUPPORT:
-            break
-        chosen.append(best[3])
-        left -= holders.pop(best[3])
-        holders = {f: h for f, h in holders.items() if len(h) >= LEAST_SUPPORT}
+    chosen: list[str] = []
+    for least in (LEAST_SUPPORT, max(LEAST_SUPPORT, SECOND_SHARE * len(toxic_docs))):
+        left = set(range(len(toxic_docs)))
+        holders = {f: h for f, h in holders.items() if len(h) >= least and not _told_by(f, chosen)}
+        while left:
+            best = max(
+                ((len(h & left), -counts[f][0], len(f), f) for f, h in holders.items()),
+                default=(0, 0, 0, ""),
+            )
+            if best[0] < least:
+                break
+            chosen.append(best[3])
+            left -= holders.pop(best[3])
     return chosen
 
 
+def _told_by(feature: str, chosen: list[str]) -> bool:
+    """Whether a chosen beginning already covers the feature, or the feature is the beginning of a chosen one."""
+    plain = feature.rstrip("*")
+    return any(
+        (c.endswith("*") and plain.startswith(c[:-1])) or (feature.endswith("*") and c.rstrip("*").startswith(plain))
+        for c in chosen
+    )
+
+
 def fit_grammar(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", key: str = "doc_id") -> ClauseGrammar:
     """Learn lexicon and pattern weights from at most about TRAIN_DOCS labelled rows; null labels teach nothing."""
     sample = bounded_sample(labelled.filter(F.col(label_col).isNotNull()), key, TRAIN_DOCS).select(
