@@ -149,16 +149,19 @@ def identify(docs: DataFrame, model: BackoffModel, keep: list[str], text_col: st
     text if the model has no language.  Ties go to the first language by name.  Only `keep` and the text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    # The text goes to the workers once: as a kept column, or after them.
+    place = keep.index(text_col) if text_col in keep else len(keep)
+    kept = len(keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.scorer()
         for batch in batches:
-            found = [score(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            found = [score(x.as_py()) for x in batch.column(place)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"],
+                [*batch.columns[:kept], pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64())],
+                names=[*batch.schema.names[:kept], "lang_pred", "score"],
             )
 
-    given = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = given.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    given = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")]))
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     return given.mapInArrow(predict, schema)
