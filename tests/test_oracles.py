@@ -1,17 +1,22 @@
-"""Every registered query with SQL agrees with DuckDB on the smallest tables."""
+"""Every registered query runs, and agrees with DuckDB where it has SQL, on the smallest tables."""
 
 import os
 
 import pytest
 
-import __spark_entry__ as entry
+from tallyseek.plans import registry
 from tests.oracle_check import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
+registry.load()
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_agrees(spark, name):
-    found = entry.queries()[name](spark, FOLDER)
-    assert differences(found, connect(FOLDER), entry.oracle_sql()[name]) == []
+    found = registry.QUERIES[name](spark, FOLDER)
+    if name in registry.ORACLES:
+        assert differences(found, connect(FOLDER), registry.ORACLES[name]) == []
+    else:
+        assert found.count() > 0
