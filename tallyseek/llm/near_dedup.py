@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyseek.llm.common import connected, stored
 from tallyseek.llm.shingles import blocks, mix, shingle_hashes, word_hashes
+from tallyseek.operators.sizing import attach
 
 HASHES, BANDS, ROWS = 128, 32, 4
 # Similarity 0.8 as 9 * common >= 4 * (size + size).
@@ -257,7 +258,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = groups.withColumnRenamed("id", "digest").join(texts.select("digest", "first", "n_words"), "digest")
     sized = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
-    placed = members.join(sized.select("root", parts.alias("parts")), "root").withColumn(
+    placed = attach(members, stored(sized.select("root", parts.alias("parts"))), "root").withColumn(
         "block", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
     )
     wanted = placed.select("digest", "root", "parts", "block", F.col("first.id").alias("id"))
@@ -282,10 +283,13 @@ def _verified(cells: DataFrame) -> DataFrame:
 
 
 def _classes(rows: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
-    roots = connected(links).withColumnRenamed("id", "digest")
-    classed = texts.select("digest", "first", "copies").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    totals = classed.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
-    by_text = classed.select("digest", "root").join(totals, "root").select("digest", "head", "class_size")
+    linked = texts.select("digest", "first", "copies").join(connected(links).withColumnRenamed("id", "digest"), "digest")
+    totals = stored(linked.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size")))
+    # A class may hold a third of all texts: `attach` broadcasts the totals, or those of hot classes.
+    classed = attach(linked.select("digest", "root"), totals, "root").select("digest", "head", "class_size")
+    by_text = texts.join(classed, "digest", "left").select(
+        "digest", F.coalesce("head", "first").alias("head"), F.coalesce("class_size", "copies").alias("class_size")
+    )
     return rows.select("doc_id", "row", "digest").join(by_text, "digest", "left").select(
         "doc_id",
         F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.id")).alias("class_id"),
