@@ -133,13 +133,15 @@ def fit_backoff(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     kept = (
         every.withColumn("place", F.row_number().over(best))
         .filter(F.col("place") <= F.when(F.col("level") == 0, KEEP_WORDS).otherwise(KEEP_GRAMS))
-        .select("lang", "level", "word", "n")
-        .collect()
+        .select("level", "lang", "word", "n")
+        .toArrow()
     )
     counts: dict[int, dict[str, dict[str, int]]] = {}
-    for r in kept:
-        counts.setdefault(r["level"], {}).setdefault(r["lang"], {})[r["word"]] = r["n"]
-    return BackoffModel(sorted({r["lang"] for r in kept}), counts)
+    langs = set()
+    for level, lang, word, n in zip(*(column.to_pylist() for column in kept.columns)):
+        counts.setdefault(level, {}).setdefault(lang, {})[word] = n
+        langs.add(lang)
+    return BackoffModel(sorted(langs), counts)
 
 
 def identify(docs: DataFrame, model: BackoffModel, keep: list[str], text_col: str = "text") -> DataFrame:
