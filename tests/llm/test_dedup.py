@@ -207,3 +207,41 @@ def test_connected_components(spark):
             root[max(ra, rb)] = min(ra, rb)
     found = {r.id: r.root for r in common.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {x: find(x) for x in list(root)}
+
+
+def _hashed(words: list[str]):
+    return shingles.shingle_hashes(*shingles.word_hashes([" ".join(words).encode()]), short=False)[0]
+
+
+@pytest.mark.parametrize("around", [0, 20])
+def test_one_edit_at_every_place_of_a_short_passage(around):
+    """A passage of 50 to 70 words with one word changed has a similarity of 0.8 or more wherever the word is."""
+    for n in (50, 51, 54, 59, 64, 70):
+        passage = [f"w{i}" for i in range(n)]
+        for k in range(n):
+            edited = passage[:k] + ["edited"] + passage[k + 1 :]
+            assert jaccard(word_shingles(" ".join(passage)), word_shingles(" ".join(edited))) >= 0.8
+            a = [f"a{i}" for i in range(around)] + passage + [f"b{i}" for i in range(around)]
+            b = [f"c{i}" for i in range(around + 3)] + edited + [f"d{i}" for i in range(around)]
+            x, y = _hashed(a), _hashed(b)
+            found = passages.similar_passages(x, y)
+            assert found, (n, k)
+            for s, t, u, v, alike in found:
+                assert min(t - s, v - u) >= passages.LEAST_SHINGLES
+                assert alike == passages.weighted_jaccard(x[s:t], y[u:v]) >= 0.8
+
+
+def test_a_second_passage_is_found_where_the_best_fails():
+    """The fullest stretch is scattered over the other text; a passage beside it is not lost."""
+    scattered, good = [f"s{i}" for i in range(80)], [f"g{i}" for i in range(60)]
+    apart = scattered[:30] + [f"x{i}" for i in range(40)] + scattered[26:56] + [f"y{i}" for i in range(40)] + scattered[52:]
+    edited = good[:10] + ["edited"] + good[11:]
+    a, b = scattered + ["z1", "z2"] + good, apart + ["q"] * 20 + edited
+    found = passages.similar_passages(_hashed(a), _hashed(b))
+    assert any(s >= 78 for s, *_ in found)
+
+
+def test_passages_of_other_lengths_repeat_periodically():
+    line = [f"p{i}" for i in range(12)]
+    short, long = _hashed(line * 5), _hashed(line * 40)
+    assert passages.similar_passages(short, long) and passages.similar_passages(long, short)
