@@ -245,3 +245,29 @@ def test_passages_of_other_lengths_repeat_periodically():
     line = [f"p{i}" for i in range(12)]
     short, long = _hashed(line * 5), _hashed(line * 40)
     assert passages.similar_passages(short, long) and passages.similar_passages(long, short)
+
+
+def test_every_filling_of_a_template_meets_its_own_copy(spark):
+    """Passages of one template, each filling in two documents: all pairs by brute force are connected, verbatim copies first."""
+    import random
+
+    rng, template, rows = random.Random(11), sentences(40, 60).split(), []
+    for filling in range(40):
+        words = list(template)
+        words[15], words[38] = f"first{filling}", f"second{filling}"
+        for copy in range(2):
+            around = [" ".join(f"d{filling}x{copy}x{side}x{i}" for i in range(25)) for side in range(2)]
+            rows.append((filling, " ".join([around[0], *words, around[1]])))
+    rng.shuffle(rows)
+    fillings = [f for f, _ in rows]
+    docs = [(i, t) for i, (_, t) in enumerate(rows)] + [(900, sentences(41, 30) + " " + rows[0][1] + " " + sentences(42, 30) + " " + rows[1][1])]
+    found = passages.near_passages(edge_docs(spark, docs)).collect()
+    links = {(r.doc_id, r.other_id) for r in found} | {(r.other_id, r.doc_id) for r in found}
+    for i, f in enumerate(fillings):
+        twin = next(k for k, g in enumerate(fillings) if g == f and k != i)
+        assert (i, twin) in links or any((i, k) in links and (k, twin) in links for k in range(len(docs))), (i, twin)
+    texts = dict(docs)
+    for r in found:
+        a, b = texts[r.doc_id].lower().split()[r.start_word : r.end_word], texts[r.other_id].lower().split()[r.other_start : r.other_end]
+        assert min(len(a), len(b)) >= 50
+        assert jaccard(word_shingles(" ".join(a)), word_shingles(" ".join(b))) == pytest.approx(r.similarity) and r.similarity >= 0.8
