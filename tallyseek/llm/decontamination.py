@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
 For every document window as long as a benchmark item, and holding at least one of the benchmark's five-word shingles (others have similarity 0
-to every item), a 64-bit SimHash of the window's shingles is looked up among the items of the same length.  RADIUS + 1
+to every item), a 64-bit SimHash of the window's shingles is looked up among the items of the same length.  A document shorter than
+an item is one window, looked up among the longer items that it can be similar to.  RADIUS + 1
 blocks of the fingerprint index the items: two fingerprints within RADIUS agree in at least one block, so no such pair is missed.  Pairs within
 the radius are verified on their exact shingle multisets.
 """
@@ -106,7 +107,7 @@ def contaminated(
     """Pairs (doc_id, item_id, start_word, n_words, similarity): each item's most similar window of each document.
 
     Similarity is the weighted Jaccard of the multisets of five-word shingles of an item and of a window of as many
-    words, 0.8 or more; words are lower-cased runs of letters and digits.  Of equally similar windows the first counts.  Null and
+    words, or of the whole document if it has fewer, 0.8 or more; words are lower-cased runs of letters and digits.  Of equally similar windows the first counts.  Null and
     short texts match nothing; rows with the same id are taken together; null ids are one id.  Other columns are not read.
     """
     known = benchmark_items(items)
@@ -133,17 +134,24 @@ def contaminated(
             _bound(
                 _words("text"),
                 lambda w: F.transform(
-                    F.filter("starts", lambda s: s["n_words"] <= F.size(w)),
-                    lambda s: _bound(
-                        # A window that would end past the text is moved back to end with it.
-                        F.least(s["start"], F.size(w) - s["n_words"]),
-                        lambda a: F.struct(s["n_words"].alias("n_words"), a.alias("start"), _shingles(w, a, s["n_words"] - SHINGLE + 1).alias("shingles")),
+                    F.array_distinct(
+                        F.transform(
+                            # A text shorter than an item is one window; with under 0.8 of the item's shingles it is not similar.
+                            F.filter("starts", lambda s: (s["n_words"] - SHINGLE + 1) * 4 <= (F.size(w) - SHINGLE + 1) * 5),
+                            lambda s: F.struct(
+                                s["n_words"].alias("wanted"),
+                                F.least(s["n_words"], F.size(w)).alias("n_words"),
+                                # A window that would end past the text is moved back to end with it.
+                                F.greatest(F.least(s["start"], F.size(w) - s["n_words"]), F.lit(0)).alias("start"),
+                            ),
+                        )
                     ),
+                    lambda s: F.struct(s["wanted"], s["n_words"], s["start"], _shingles(w, s["start"], s["n_words"] - SHINGLE + 1).alias("shingles")),
                 ),
             )
         ).alias("v"),
     )
-    windows = chosen.select("doc_id", "v.n_words", "v.start", "v.shingles").withColumn("fingerprint", simhash(F.col("shingles")))
+    windows = chosen.select("doc_id", "v.wanted", "v.n_words", "v.start", "v.shingles").withColumn("fingerprint", simhash(F.col("shingles")))
     keyed = windows.withColumn("key", F.explode(blocks(F.col("fingerprint"), radius)))
     index = known.select(
         "item_id", F.col("n_words").alias("item_words"), F.col("fingerprint").alias("item_print"), "members",
@@ -155,19 +163,20 @@ def contaminated(
     first = F.array_position(F.transform(blocks(differing, radius), lambda b: b["value"] == 0), F.lit(True)) - 1
     pairs = keyed.join(
         small(index),
-        (F.col("n_words") == F.col("item_words")) & (F.col("key") == F.col("item_key")) & (far <= radius),
+        (F.col("wanted") == F.col("item_words")) & (F.col("key") == F.col("item_key")) & (far <= radius),
     ).filter(first == F.col("key.block"))
     common = F.size(F.array_intersect(counted(F.col("shingles")), F.col("members")))
-    size = F.size("members")
+    # Shingles of the item and of the window together.
+    size = F.size("members") + F.size("shingles")
     return (
         pairs.select("doc_id", "item_id", "start", "n_words", common.alias("common"), size.alias("size"))
-        .filter(F.col("common") * 9 >= F.col("size") * 8)
+        .filter(F.col("common") * 9 >= F.col("size") * 4)
         .groupBy("doc_id", "item_id")
         .agg(
             F.max_by(F.struct("start", "n_words", "common", "size"), F.struct("common", -F.col("start"))).alias("best")
         )
         .select(
             "doc_id", "item_id", F.col("best.start").alias("start_word"), "best.n_words",
-            (F.col("best.common") / (2 * F.col("best.size") - F.col("best.common"))).alias("similarity"),
+            (F.col("best.common") / (F.col("best.size") - F.col("best.common"))).alias("similarity"),
         )
     )

@@ -205,3 +205,31 @@ def test_held_out_split_is_crc32(spark):
 
     got = spark.range(50).select("id", crc_part("id", 5).alias("p"), F.lit(None).cast("long").alias("none")).collect()
     assert all(r.p == zlib.crc32(str(r.id).encode()) % 5 for r in got)
+
+
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    item, long = sentences(81, 39), sentences(82, 80)
+    w, v = words(item), words(long)
+    rows = [
+        (1, " ".join(w[:-1])), (2, " ".join(w[1:])), (3, " ".join(w[:34])), (4, " ".join(w[:30])), (5, " ".join(w[:20] + ["x"] + w[21:-1])),
+        (6, " ".join(v[:64])), (7, " ".join(v[3:70])), (8, " ".join(v[:30])), (9, item), (10, "x " + " ".join(w[:-1])), (11, " ".join(w[:4])),
+        (12, " ".join(v[5:75])), (13, " ".join(w[2:36])), (14, " ".join(v[:66])),
+    ]
+    items = [(1, item), (2, long), (3, " ".join(w[1:])), (4, " ".join(v[:78]))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contaminated(edge_docs(spark, rows), table).collect()
+
+    def grams(w):
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    want = {}
+    for d, t in rows:
+        for i, it in items:
+            m, n = grams(words(it)), min(len(words(t)), len(words(it)))
+            for s in range(len(words(t)) - n + 1):
+                g = grams(words(t)[s : s + n])
+                c = sum((Counter(g) & Counter(m)).values())
+                if c and 9 * c >= 4 * (len(g) + len(m)):
+                    want[d, i] = max(want.get((d, i), (0, 0, 0)), (c / (len(g) + len(m) - c), -s, n))
+    assert {(r.doc_id, r.item_id): (r.similarity, -r.start_word, r.n_words) for r in found} == want
+    assert (1, 1) in want and want[1, 1][0] == 34 / 35 and (4, 1) not in want
