@@ -35,16 +35,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontamination.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    leaks = found.select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").select(COLUMNS)
+    """Documents that hold a benchmark item go; other rows with the same or a null id stay."""
+    numbered = _numbered(docs)
+    found = decontamination.contaminated(numbered, common.table(spark, sf_dir, "benchmark"), row_col="_row")
+    leaks = found.select("row").distinct()
+    return numbered.join(leaks, F.col("_row") == F.col("row"), "left_anti").select(COLUMNS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes words, with size, source_size, target and taken."""
-    taken = mixing.mix_sources(docs).filter("taken > 0").withColumnRenamed("doc_id", "id")
-    return docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    taken = mixing.mix_sources(numbered, row_col="_row").filter("taken > 0").drop("doc_id")
+    return numbered.join(taken.hint("shuffle_hash"), F.col("_row") == F.col("row")).drop("_row", "row")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))
 
 
 def _keep(docs: DataFrame, decide) -> DataFrame:
@@ -52,7 +58,7 @@ def _keep(docs: DataFrame, decide) -> DataFrame:
 
     Rows are told by their number in the stored table, the same at every read, so repeated rows and ids are no exception.
     """
-    numbered = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row"))
+    numbered = _numbered(docs)
     stay = decide(numbered).filter("kept").select("row").hint("shuffle_hash")
     return numbered.join(stay, F.col("_row") == F.col("row"), "left_semi").select(COLUMNS)
 

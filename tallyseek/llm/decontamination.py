@@ -102,13 +102,14 @@ def benchmark_items(items: DataFrame, id_col: str = "item_id", text_col: str = "
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
 ) -> DataFrame:
-    """Pairs (doc_id, item_id, start_word, n_words, similarity): each item's most similar window of each document.
+    """Pairs (doc_id, item_id, start_word, n_words, similarity): each item's most similar window of each row.
 
     Similarity is the weighted Jaccard of the multisets of five-word shingles of an item and of a window of as many
     words, or of the whole document if it has fewer, 0.8 or more; words are lower-cased runs of letters and digits.  Of equally similar windows the first counts.  Null and
-    short texts match nothing; rows with the same id are taken together; null ids are one id.  Other columns are not read.
+    short texts match nothing; rows are told by id and text together (64 hash bits), so only rows equal in both are one.  With `row_col` (a
+    number that tells rows apart, the same at every read) each row is a document, and the pairs have it as `row`.  Other columns are not read.
     """
     known = benchmark_items(items)
     small = F.broadcast if fits(known.select(F.explode("shingles").alias("h")), BROADCAST_SHINGLES) else (lambda df: df)
@@ -118,17 +119,18 @@ def contaminated(
         .groupBy("h")
         .agg(F.collect_set(F.struct("n_words", "place")).alias("seen"))
     )
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = given.select("doc_id", F.posexplode(_bound(_words("text"), lambda w: _shingles(w, F.lit(0), F.size(w) - SHINGLE + 1))).alias("at", "h"))
+    number = F.col(row_col).cast("long") if row_col else F.xxhash64(F.col(id_col).cast("long"), text_col)
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), number.alias("row"))
+    every = given.select("row", F.posexplode(_bound(_words("text"), lambda w: _shingles(w, F.lit(0), F.size(w) - SHINGLE + 1))).alias("at", "h"))
     starts = (
         every.join(small(places), "h")
-        .select("doc_id", "at", F.explode("seen").alias("p"))
-        .select("doc_id", F.struct(F.col("p.n_words").alias("n_words"), F.greatest(F.col("at") - F.col("p.place"), F.lit(0)).alias("start")).alias("s"))
-        .groupBy("doc_id")
+        .select("row", "at", F.explode("seen").alias("p"))
+        .select("row", F.struct(F.col("p.n_words").alias("n_words"), F.greatest(F.col("at") - F.col("p.place"), F.lit(0)).alias("start")).alias("s"))
+        .groupBy("row")
         .agg(F.collect_set("s").alias("starts"))
     )
-    wanted = starts.withColumnRenamed("doc_id", "id").hint("shuffle_hash")
-    chosen = given.join(wanted, given["doc_id"].eqNullSafe(F.col("id"))).select(
+    chosen = given.join(starts.hint("shuffle_hash"), "row").select(
+        "row",
         "doc_id",
         F.explode(
             _bound(
@@ -151,7 +153,7 @@ def contaminated(
             )
         ).alias("v"),
     )
-    windows = chosen.select("doc_id", "v.wanted", "v.n_words", "v.start", "v.shingles").withColumn("fingerprint", simhash(F.col("shingles")))
+    windows = chosen.select("row", "doc_id", "v.wanted", "v.n_words", "v.start", "v.shingles").withColumn("fingerprint", simhash(F.col("shingles")))
     keyed = windows.withColumn("key", F.explode(blocks(F.col("fingerprint"), radius)))
     index = known.select(
         "item_id", F.col("n_words").alias("item_words"), F.col("fingerprint").alias("item_print"), "members",
@@ -169,14 +171,15 @@ def contaminated(
     # Shingles of the item and of the window together.
     size = F.size("members") + F.size("shingles")
     return (
-        pairs.select("doc_id", "item_id", "start", "n_words", common.alias("common"), size.alias("size"))
+        pairs.select("row", "doc_id", "item_id", "start", "n_words", common.alias("common"), size.alias("size"))
         .filter(F.col("common") * 9 >= F.col("size") * 4)
-        .groupBy("doc_id", "item_id")
+        .groupBy("row", "doc_id", "item_id")
         .agg(
             F.max_by(F.struct("start", "n_words", "common", "size"), F.struct("common", -F.col("start"))).alias("best")
         )
         .select(
             "doc_id", "item_id", F.col("best.start").alias("start_word"), "best.n_words",
             (F.col("best.common") / (F.col("best.size") - F.col("best.common"))).alias("similarity"),
+            *(["row"] if row_col else []),
         )
     )

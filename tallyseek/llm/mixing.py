@@ -68,8 +68,9 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
+    """One row per document: doc_id, size, source_size, target, taken; with `row_col` (a number that tells rows apart) also row.
 
     A source whose target is r times its size takes every document floor(r) times; the rest of its
     budget goes to the documents with the smallest hashes.  The hash threshold is found from
@@ -85,6 +86,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             words(text_col).alias("size"),
             draw(id_col).alias("h"),
+            *([F.col(row_col).cast("long").alias("row")] if row_col else []),
         )
     )
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -139,5 +141,5 @@ def mix_sources(
         .cast("long")
     )
     return narrow.join(thresholds, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken"), *(["row"] if row_col else [])
     )

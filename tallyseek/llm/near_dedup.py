@@ -245,8 +245,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Classes are the connected components of "weighted Jaccard of five-word shingle multisets >= 0.8", words being
     lower-cased runs of non-blanks; class_id is the class's smallest id and exactly one row, the first with that id, is kept.  Texts of
     1 to 4 words are one shingle.  Null and blank texts are similar to nothing, so each is its own class.  Null ids come after all others.
-    Of the columns only id and text are read.
+    Of the columns only id and text are read.  A `row_col` has to be the same at every read.
     """
+    if row_col is None:
+        # Texts are read twice and joined by row, so the numbers have to stay.
+        docs, row_col = stored(docs.select(id_col, text_col, F.monotonically_increasing_id().alias("_row"))), "_row"
     rows = sketches(docs, id_col, text_col, row_col)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     texts = stored(
@@ -261,10 +264,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = attach(members, stored(sized.select("root", parts.alias("parts"))), "root").withColumn(
         "block", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
     )
-    wanted = placed.select("digest", "root", "parts", "block", F.col("first.id").alias("id"))
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    wanted = placed.select("digest", "root", "parts", "block", F.col("first.row").alias("row"))
+    given = docs.select(F.col(text_col).alias("text"), F.col(row_col).cast("long").alias("row"))
     cells = (
-        given.join(wanted.hint("shuffle_hash"), given["id"].eqNullSafe(wanted["id"]))
+        given.join(wanted.hint("shuffle_hash"), "row")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
             F.struct("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("cell"),

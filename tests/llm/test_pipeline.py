@@ -3,7 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from tallyseek.llm import queries
+from tallyseek.llm import near_dedup, queries
 from tests.llm.fixtures import edge_docs, sentences
 from tests.oracle_check import connect, differences
 
@@ -45,3 +45,21 @@ def test_registered_query(spark, name):
         assert differences(found, connect(FOLDER), queries.ORACLES[name]) == []
     else:
         assert found.count() > 0
+
+
+def test_rows_with_one_id_are_told_apart(spark, tmp_path):
+    """Null and repeated ids: only the row that holds an item goes, and each other row is mixed once, with its own size."""
+    leak = sentences(99, 30)
+    rows = [(None, sentences(200 + i, 60 + i)) for i in range(6)] + [(5, sentences(300 + i, 80 + i)) for i in range(6)]
+    rows += [(None, sentences(90, 30) + " " + leak), (5, leak + " " + sentences(91, 30)), (6, sentences(92, 70))]
+    edge_docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    texts = [t for _, t in rows if leak not in t]
+    assert sorted(r.text for r in clean.collect()) == sorted(texts)
+    clean.write.parquet(f"{tmp_path}/clean")
+    mixed = corpus_pipeline.mix_to_weights(spark, spark.read.parquet(f"{tmp_path}/clean"), str(tmp_path)).collect()
+    assert len({r.text for r in mixed}) == len(mixed) and all(r.size == len(r.text.split()) for r in mixed)
+    near = near_dedup.near_dedup(edge_docs(spark, [(None, t) for t in texts] + [(None, texts[0] + " tail")])).collect()
+    assert sorted(r.class_size for r in near) == [1] * (len(texts) - 1) + [2, 2] and sum(r.kept for r in near) == len(texts)
