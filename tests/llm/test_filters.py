@@ -233,3 +233,15 @@ def test_decontamination_of_documents_shorter_than_an_item(spark):
                     want[d, i] = max(want.get((d, i), (0, 0, 0)), (c / (len(g) + len(m) - c), -s, n))
     assert {(r.doc_id, r.item_id): (r.similarity, -r.start_word, r.n_words) for r in found} == want
     assert (1, 1) in want and want[1, 1][0] == 34 / 35 and (4, 1) not in want
+
+
+def test_secrets_rarer_than_the_sample(spark, monkeypatch):
+    """Ten secrets in 20,000 findings and a sample of 200: the forest still learns both labels and removes what is harmless."""
+    monkeypatch.setattr(secrets, "TRAIN_FINDINGS", 200)
+    width = len(secrets.FEATURES)
+    rows = [(i, 0, [float(i % 2000 == 0)] * 3 + [float(i % 7)] * (width - 3), int(i % 2000 == 0)) for i in range(20_000)]
+    found = spark.createDataFrame(rows, "doc_id long, start int, features array<double>, label int")
+    forest = secrets.fit_forest(found)
+    assert forest is not None
+    kept = secrets.scan_secrets(found, forest).filter("secret").collect()
+    assert {r.doc_id for r in kept} == set(range(0, 20_000, 2000))
