@@ -54,7 +54,7 @@ def test_rows_with_one_id_are_told_apart(spark, tmp_path):
     rows += [(None, sentences(90, 30) + " " + leak), (5, leak + " " + sentences(91, 30)), (6, sentences(92, 70))]
     edge_docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select(corpus_pipeline.COLUMNS)
     clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
     texts = [t for _, t in rows if leak not in t]
     assert sorted(r.text for r in clean.collect()) == sorted(texts)
