@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyseek.llm import common, decontamination, exact_dedup, language_id, mixing, near_dedup, passages, quality, secrets, suffix_dedup, toxicity
+from tallyseek.llm import (
+    common, covering, decontamination, exact_dedup, language_id, mixing, near_dedup, passages, quality, runs, secrets, spelling,
+    suffix_dedup, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +85,56 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(found, forest).select("doc_id", "start", "end", "candidate", "probability", "secret")
 
 
+def with_planted_run(docs: DataFrame) -> DataFrame:
+    """`text` with the words of every tenth document (by h = crc32 of the id as text) from place a on repeating with period p.
+
+    A null id plants nothing.  Words are cut out and repeated as slices, never one lookup per word.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(common.text_or_empty(), F.lit(common.WORD), F.lit(0))
+    given = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    given = given.withColumn("n", F.size("words"))
+    given = given.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    given = given.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    rest = F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), F.col("n") - F.col("a"))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), rest), " ")
+    return given.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, the planted ones included, as digests, with the longest one in full."""
+    found = runs.periodic_runs(with_planted_run(common.table(spark, sf_dir, "documents")), ["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("left"), (-r["period"]).alias("brief"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.left")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.brief")).alias("period"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return best.withColumn("exponent_milli", F.floor(F.col("length") * 1000 / F.col("period")))
+
+
+def op12_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covering.near_components(common.table(spark, sf_dir, "documents"))
+
+
+def misspelt(doc_id: int | None, run: bytes) -> bytes:
+    """A run whose crc32 with the document's id is divisible by 97 loses one code point; a null id reads as the empty text."""
+    h = zlib.crc32(b"%s:%s" % (b"" if doc_id is None else b"%d" % doc_id, run))
+    if h % 97:
+        return run
+    text = run.decode()
+    at = h % len(text)
+    return (text[:at] + text[at + 1 :]).encode()
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their frequent near word, misspelt runs included."""
+    counts = spelling.word_counts(common.table(spark, sf_dir, "documents"), alter=misspelt)
+    return spelling.spelling_variants(counts)
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
@@ -92,6 +146,9 @@ QUERIES: dict[str, Query] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secrets": op10_secrets,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_covering_simhash": op12_covering_simhash,
+    "op13_spelling": op13_spelling,
 }
 
 OP4_SQL = r"""
