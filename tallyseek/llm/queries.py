@@ -195,4 +195,52 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM n
 """
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+def _crc_step() -> str:
+    """SQL for one byte b of a crc32 c: the table's entry is what the low byte's bits add, each by itself."""
+    step = "c >> 8"
+    for k in range(8):
+        step = f"xor({step}, (xor(c, b) >> {k} & 1) * {zlib.crc32(bytes([1 << k])) ^ zlib.crc32(bytes(1))})"
+    return step
+
+
+OP13_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), plain AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY 1, 2
+), hashed AS (
+  SELECT run, n, list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(id || ':' || run, ''),
+             lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(ch) - 64 AS BIGINT)] END))),
+           lambda c, b: CRC_STEP) AS inverted
+  FROM plain
+), spelt AS (
+  SELECT CASE WHEN xor(inverted, 4294967295) % 97 <> 0 THEN run
+              ELSE left(run, CAST(xor(inverted, 4294967295) % length(run) AS INT)) || substr(run, CAST(xor(inverted, 4294967295) % length(run) AS INT) + 2)
+         END AS word, n
+  FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS (
+  SELECT word, i, left(word, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, w.word FROM cut a JOIN words w ON a.rest = w.word
+  UNION SELECT w.word, a.word FROM cut a JOIN words w ON a.rest = w.word
+), ranked AS (
+  SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+         row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, encode(other)) AS place
+  FROM near JOIN words o ON o.word = other
+), forms AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+         CASE WHEN r.other_n >= 2 * w.n THEN r.other END AS form, CASE WHEN r.other_n >= 2 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1
+), chain AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT chain.word, f.form FROM chain JOIN forms f ON f.word = chain.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms l ON l.word = c.at AND l.form IS NULL
+""".replace("CRC_STEP", _crc_step())
+
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op13_spelling": OP13_SQL}
