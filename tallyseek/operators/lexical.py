@@ -1,27 +1,22 @@
 """BM25+ and TF-IDF over index tables.
 
-Everything a chunk owns (its postings, norm and scores) is hash-partitioned by `chunk_id`,
-terms are counted inside the chunk's row and only the counts are exchanged.  The query
-side is small and checked; when it is not, hot terms are salted.
+Terms are counted inside the chunk's row and only the counts are exchanged.  The query
+side is small and checked; when it is not, hot terms are salted.  Top-k answers prune the postings of frequent terms
+(`pruning`); `bm25_gains` and `tfidf_scores` give every matching chunk's score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyseek.functions.text import whitespace_tokens, word_tokens
+from tallyseek.operators.pruning import LEVELS, PRUNE_FROM, Measure, Scorer, frequent_terms, impact_levels, match, profile_array
 from tallyseek.operators.ranking import top_k
-from tallyseek.operators.sizing import (
-    BROADCAST_ROWS,
-    HOT_SHARE,
-    attach,
-    fits,
-    materialize,
-)
+from tallyseek.operators.sizing import BROADCAST_ROWS, attach, fits, materialize, spread
 
 Tokenizer = Callable[[Column], Column]
 
@@ -46,9 +41,9 @@ def term_rows(
     tokenizer: Tokenizer = whitespace_tokens,
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """`chunk_id, term, dl, tf`, partitioned by `chunk_id`: all an index is made of.
+    """`chunk_id, term, dl, tf`: all an index is made of.
 
-    A chunk is one row, so its terms are counted in the row: texts are never exchanged.
+    Texts are never exchanged: tokens are counted by chunk and term before the shuffle.
 
     Besides its terms every chunk with text has one row of its own, under the empty term, so
     sizes and lengths need no second look at the texts.  With a (broadcastable) vocabulary
@@ -56,56 +51,16 @@ def term_rows(
     """
     if "content" not in chunks.columns:
         raise ValueError("the chunk table has no 'content' column")
-    own = F.struct(
-        F.lit(CHUNK_ROW).alias("term"), F.lit(1).cast("bigint").alias("tf")
-    )
-    counted = once(
-        tokenizer(F.col("content")),
-        lambda tokens: F.transform(
-            F.concat(F.array(own), term_counts(tokens)),
-            lambda entry: F.struct(
-                entry["term"].alias("term"),
-                F.size(tokens).alias("dl"),
-                entry["tf"].alias("tf"),
-            ),
-        ),
-    )
-    kept = chunks.filter(F.col("content") != "").select("chunk_id", F.inline(counted))
+    # No filter: it would be pushed below a dealt-out scan, and the text's expressions with it.
+    tokens = F.when(F.col("content") != "", tokenizer(F.col("content")))
+    terms = F.explode(F.concat(F.array(F.lit(CHUNK_ROW)), "tokens"))
+    kept = chunks.select("chunk_id", tokens.alias("tokens")).select("chunk_id", F.size("tokens").alias("dl"), terms.alias("term"))
     if vocabulary is not None:
         own_term = vocabulary.sparkSession.range(1).select(F.lit(CHUNK_ROW).alias("term"))
         wanted = vocabulary.select("term").unionByName(own_term)
-        kept = kept.join(F.broadcast(wanted), "term", "left_semi").select("chunk_id", "term", "dl", "tf")
-    return kept.repartition("chunk_id")
-
-
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with `value` computed once per row however often `use` reads it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def term_counts(tokens: Column) -> Column:
-    """`term, tf` structs of an array of tokens: run lengths of the sorted tokens."""
-
-    def runs(ordered: Column) -> Column:
-        size = F.size(ordered)
-        places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        heads = F.filter(
-            places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
-        )
-        return once(
-            heads,
-            lambda starts: F.transform(
-                starts,
-                lambda at, i: F.struct(
-                    F.get(ordered, at).alias("term"),
-                    (F.coalesce(F.get(starts, i + 1), size) - at).cast("bigint").alias("tf"),
-                ),
-            ),
-        )
-
-    return once(F.array_sort(tokens), runs)
+        kept = kept.join(F.broadcast(wanted), "term", "left_semi")
+    counted = kept.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return counted.select("chunk_id", "term", "dl", "tf")
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -135,18 +90,64 @@ def smooth_idf(n: Column, df: Column) -> Column:
 class LexicalIndex:
     """The index tables of one corpus: build once, save, score many question tables."""
 
-    chunks: DataFrame  # chunk_id, dl
+    chunks: DataFrame  # chunk_id, dl, norm (TF-IDF; null where not counted), profile (tf by slot)
     postings: DataFrame  # chunk_id, term, dl, tf
     terms: DataFrame  # term, df
     corpus: DataFrame  # n, avgdl
+    frequent: DataFrame  # term, slot
+    levels: DataFrame | None = None  # measure, slot, top, counts, if stored
+    has_norms: bool = False
+
+    def levels_of(self, measure: Measure) -> DataFrame:
+        """Levels of impact under a measure: the stored ones, else counted from the profiles."""
+        if self.levels is not None:
+            known = self.levels.filter(F.col("measure") == measure.name).drop("measure")
+            if not known.isEmpty():
+                return known
+        return impact_levels(self.chunks, measure)
+
+
+def chunk_rows(rows: DataFrame, frequent: DataFrame, idf: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`chunk_id, dl, norm, profile` of `term_rows`; norms only with `idf` (term, idf)."""
+    placed = rows.join(F.broadcast(frequent), "term", "left")
+    weight = F.lit(None).cast("double")
+    if idf is not None:
+        placed = attach(placed, idf, "term", broadcast_rows)
+        weight = F.col("tf") * F.col("idf")
+    entry = F.when(F.col("slot").isNotNull(), F.struct("slot", F.col("tf").cast("int").alias("tf")))
+    kept = placed.select("chunk_id", "dl", (weight * weight).alias("square"), entry.alias("entry"))
+    grouped = spread(kept, "chunk_id").groupBy("chunk_id").agg(
+        F.first("dl").alias("dl"), F.sqrt(F.sum("square")).alias("norm"), F.collect_list("entry").alias("entries")
+    )
+    return grouped.select("chunk_id", "dl", "norm", profile_array(F.col("entries")).alias("profile"))
+
+
+def idf_table(terms: DataFrame, n: int) -> DataFrame:
+    return terms.select("term", smooth_idf(F.lit(n), F.col("df")).alias("idf"))
 
 
 def index_of(rows: DataFrame) -> LexicalIndex:
-    """Index tables as views of `term_rows`."""
-    chunks = rows.filter(F.col("term") == CHUNK_ROW).select("chunk_id", "dl")
+    """Index tables as views of `term_rows`; only the frequent terms are picked now."""
     postings = rows.filter(F.col("term") != CHUNK_ROW)
-    corpus = chunks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(chunks, postings, document_frequency(postings), corpus)
+    terms = document_frequency(postings)
+    frequent = frequent_terms(terms)
+    return LexicalIndex(chunk_rows(rows, frequent), postings, terms, corpus_totals(rows), frequent)
+
+
+def corpus_totals(rows: DataFrame) -> DataFrame:
+    """`n, avgdl`: chunks and their mean length, one row."""
+    return rows.filter(F.col("term") == CHUNK_ROW).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def with_norms(index: LexicalIndex) -> LexicalIndex:
+    """The index with TF-IDF norms, counted once if it has none."""
+    if index.has_norms:
+        return index
+    idf = idf_table(index.terms, index.corpus.select("n").scalar())
+    weighed = attach(index.postings, idf, "term").withColumn("weight", F.col("tf") * F.col("idf"))
+    norms = weighed.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    chunks = index.chunks.drop("norm").join(norms, "chunk_id", "left")
+    return replace(index, chunks=materialize(chunks), has_norms=True)
 
 
 def build_index(chunks: DataFrame, tokenizer: Tokenizer = whitespace_tokens) -> LexicalIndex:
@@ -160,57 +161,21 @@ def store_index(
     """Index tables computed once: the texts are read and cut into terms a single time.
 
     With `asked` query terms that fit a broadcast only their postings are kept, which is all
-    that BM25+ needs.  Reading the rows back loses their partitioning, so the (narrow)
-    postings are placed again.
+    that BM25+ needs; norms need the whole vocabulary and are null then.
     """
     vocabulary = None
     if asked is not None:
         distinct = asked.select("term").distinct()
         vocabulary = distinct if fits(distinct) else None
-    index = index_of(materialize(term_rows(chunks, tokenizer, vocabulary)))
-    return LexicalIndex(
-        index.chunks,
-        index.postings.repartition("chunk_id"),
-        materialize(index.terms),
-        index.corpus,
-    )
-
-
-def match(
-    postings: DataFrame, weighted: DataFrame, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Join postings to `query_id, term, …, df` rows on the term.
-
-    Small query side: one broadcast row per term, so a posting is looked up once and keeps
-    its `chunk_id` partitioning.
-    Otherwise a shuffle join on `(term, salt)`, where a term gets salts in proportion to its
-    share of the postings and the query rows are repeated once per salt.
-    """
-    if fits(weighted, broadcast_rows):
-        details = [c for c in weighted.columns if c not in ("term", "df")]
-        per_term = weighted.groupBy("term").agg(
-            F.collect_list(F.struct(*details)).alias("_asked")
-        )
-        return postings.join(F.broadcast(per_term), "term").select(
-            *postings.columns, F.inline("_asked")
-        )
-    frequencies = materialize(weighted.select("term", "df").distinct())
-    total = frequencies.agg(F.sum("df")).scalar()
-    salts = F.greatest(F.lit(1), F.ceil(F.col("df") * HOT_SHARE / total)).cast("int")
-    salted = frequencies.select("term", salts.alias("salts"))
-    # Terms with two or more salts hold over 1/HOT_SHARE of the postings each.
-    hot = salted.filter(F.col("salts") > 1)
-    left = postings.join(F.broadcast(hot), "term", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("chunk_id"), F.coalesce("salts", F.lit(1))).cast("int")
-    )
-    right = (
-        weighted.drop("df")
-        .join(F.broadcast(hot), "term", "left")
-        .withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-        )
-    )
-    return left.drop("salts").join(right.drop("salts"), ["term", "salt"]).drop("salt")
+    rows = materialize(term_rows(chunks, tokenizer, vocabulary))
+    postings = rows.filter(F.col("term") != CHUNK_ROW)
+    terms = materialize(document_frequency(postings))
+    totals = corpus_totals(rows)
+    corpus = chunks.sparkSession.createDataFrame(totals.collect(), totals.schema)
+    frequent = frequent_terms(terms)
+    idf = None if vocabulary is not None else idf_table(terms, corpus.select("n").scalar())
+    chunk_table = materialize(chunk_rows(rows, frequent, idf))
+    return LexicalIndex(chunk_table, postings, terms, corpus, frequent, has_norms=idf is not None)
 
 
 def bm25_query_weights(index: LexicalIndex, asked: DataFrame) -> DataFrame:
@@ -224,20 +189,42 @@ def bm25_query_weights(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     )
 
 
+def saturation(params: Bm25Params, avgdl: float) -> Callable[[Column, Column], Column]:
+    """What a posting adds per weight."""
+
+    def value(tf: Column, dl: Column) -> Column:
+        length_norm = params.k1 * (1 - params.b + params.b * dl / avgdl)
+        return tf * (params.k1 + 1) / (length_norm + tf)
+
+    return value
+
+
+def bm25_measure(index: LexicalIndex, params: Bm25Params = SERVICE_PARAMS) -> Measure:
+    # A corpus without length has no postings.
+    avgdl = index.corpus.first()["avgdl"] or 1.0
+    edges = tuple((params.k1 + 1) * j / LEVELS for j in range(LEVELS + 1))
+    return Measure(f"bm25 {params.k1} {params.b}", saturation(params, avgdl), lambda norm: F.lit(1.0), edges)
+
+
+# Unit weights are mostly small, so their levels get wider upwards.
+TFIDF_MEASURE = Measure(
+    "tfidf", lambda tf, dl: tf.cast("double"), lambda norm: 1 / norm,
+    tuple((j / LEVELS) ** 3 for j in range(LEVELS + 1)), normed=True,
+)
+
+
 def bm25_gains(
     index: LexicalIndex,
     weighted: DataFrame,
     params: Bm25Params = SERVICE_PARAMS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """`chunk_id, query_id, gain`: the score above the query's baseline, matching chunks only."""
-    avgdl = index.corpus.select("avgdl").scalar()
-    length_norm = params.k1 * (1 - params.b + params.b * F.col("dl") / avgdl)
-    saturation = F.col("tf") * (params.k1 + 1) / (length_norm + F.col("tf"))
+    """`chunk_id, query_id, gain`: the score above the query's baseline, of every matching chunk."""
+    gained = F.col("weight") * bm25_measure(index, params).posting(F.col("tf"), F.col("dl"))
     return (
         match(index.postings, weighted, broadcast_rows)
         .groupBy("chunk_id", "query_id")
-        .agg(F.sum(F.col("weight") * saturation).alias("gain"))
+        .agg(F.sum(gained).alias("gain"))
     )
 
 
@@ -280,13 +267,14 @@ def bm25_top_k(
     params: Bm25Params = SERVICE_PARAMS,
     index: LexicalIndex | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    prune_from: int = PRUNE_FROM,
 ) -> DataFrame:
     """`query_id, chunk_id, score, rank` of the k best chunks per question."""
     asked = query_terms(queries)
     index = index or store_index(chunks, asked=asked)
     # Read by the size check, the match and the baseline.
     weighted = materialize(bm25_query_weights(index, asked))
-    gains = bm25_gains(index, weighted, params, broadcast_rows)
+    gains = Scorer(index, weighted, bm25_measure(index, params), broadcast_rows, prune_from).best(k)
     ranked = rank_with_unmatched(gains, queries, index.chunks, k)
     return ranked.join(bm25_baseline(weighted, params), "query_id", "left").select(
         "query_id",
@@ -296,26 +284,13 @@ def bm25_top_k(
     )
 
 
-def tfidf_weights(index: LexicalIndex, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Postings with `weight` = tf * idf, before normalisation."""
-    n = index.corpus.select("n").scalar()
-    idf = index.terms.select("term", smooth_idf(n, F.col("df")).alias("idf"))
-    return attach(index.postings, idf, "term", broadcast_rows).withColumn(
-        "weight", F.col("tf") * F.col("idf")
-    )
-
-
-def tfidf_norms(weights: DataFrame) -> DataFrame:
-    return weights.groupBy("chunk_id").agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")
-    )
-
-
 def tfidf_matrix(index: LexicalIndex, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """`chunk_id, term, weight` with unit rows."""
-    weights = tfidf_weights(index, broadcast_rows)
-    return weights.join(tfidf_norms(weights), "chunk_id").select(
-        "chunk_id", "term", (F.col("weight") / F.col("norm")).alias("weight")
+    index = with_norms(index)
+    idf = idf_table(index.terms, index.corpus.select("n").scalar())
+    weights = attach(index.postings, idf, "term", broadcast_rows)
+    return weights.join(index.chunks.select("chunk_id", "norm"), "chunk_id").select(
+        "chunk_id", "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")
     )
 
 
@@ -336,18 +311,25 @@ def tfidf_query_vectors(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     )
 
 
+def tfidf_query_weights(index: LexicalIndex, asked: DataFrame) -> DataFrame:
+    """`query_id, term, weight, df`: what a posting's tf / norm counts in the cosine."""
+    return tfidf_query_vectors(index, asked).select(
+        "query_id", "term", (F.col("weight") * F.col("idf")).alias("weight"), "df"
+    )
+
+
 def tfidf_scores(
     index: LexicalIndex, asked: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """`chunk_id, query_id, cosine` of the chunks that share a term with the question."""
+    index = with_norms(index)
     vectors = tfidf_query_vectors(index, asked)
     dots = (
         match(index.postings, vectors, broadcast_rows)
         .groupBy("chunk_id", "query_id")
         .agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
     )
-    norms = tfidf_norms(tfidf_weights(index, broadcast_rows))
-    return dots.join(norms, "chunk_id").select(
+    return dots.join(index.chunks.select("chunk_id", "norm"), "chunk_id").select(
         "chunk_id", "query_id", (F.col("dot") / F.col("norm")).alias("cosine")
     )
 
@@ -358,13 +340,15 @@ def tfidf_top_k(
     k: int = 3,
     index: LexicalIndex | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    prune_from: int = PRUNE_FROM,
 ) -> DataFrame:
     """`query_id, chunk_id, score, rank` by cosine of TF-IDF vectors."""
     asked = query_terms(queries, word_tokens)
-    index = index or store_index(chunks, word_tokens)
-    scores = tfidf_scores(index, asked, broadcast_rows)
-    ranked = rank_with_unmatched(scores, queries, index.chunks, k, "cosine")
-    return ranked.select("query_id", "chunk_id", F.col("cosine").alias("score"), "rank")
+    index = with_norms(index or store_index(chunks, word_tokens))
+    weighted = materialize(tfidf_query_weights(index, asked))
+    gains = Scorer(index, weighted, TFIDF_MEASURE, broadcast_rows, prune_from).best(k)
+    ranked = rank_with_unmatched(gains, queries, index.chunks, k)
+    return ranked.select("query_id", "chunk_id", F.col("gain").alias("score"), "rank")
 
 
 def top1_accuracy(ranking: DataFrame, labels: DataFrame) -> DataFrame:

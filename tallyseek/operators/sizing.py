@@ -40,6 +40,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by their keys over all shuffle partitions, for work that is heavy for its bytes: not merged at run time."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def wide_scan(df: DataFrame) -> DataFrame:
+    """A scan of a stored table, dealt out if it has fewer tasks than there are cores.
+
+    Work on texts costs far more than moving them once, and a small file is one task.  A large table is read by
+    many tasks and stays where it is.  Only for plain scans, whose number of tasks is known without running them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if tasks >= cores else df.repartition(cores)
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when `df` has at most `rows` rows; reads no more than needed to tell."""
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyseek.functions.calendar import next_holiday, season, weekday_name
 from tallyseek.operators.retail import PRODUCTS, product_table, restock_days
-from tallyseek.operators.sizing import attach, inline_table
+from tallyseek.operators.sizing import attach, inline_table, wide_scan
 from tallyseek.plans.forecast import seasonal_weather_table
 
 # Total order of the facts: (l_orderkey, l_linenumber) repeats.
@@ -19,9 +19,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    docs = table(spark, folder, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source"
     )
+    return wide_scan(docs)
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:

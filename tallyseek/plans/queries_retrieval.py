@@ -43,6 +43,16 @@ def bm25_plus_top3(spark, folder):
     return rounded(lx.bm25_top_k(plain_corpus(spark, folder), plain_questions(spark, folder), 3))
 
 
+@query(
+    "pruned_bm25_top3",
+    f"""WITH {bm25_ctes()} SELECT {RANKED_COLUMNS.format(score="score")}
+FROM ({ranked("bm_all", 3)})""",
+)
+def pruned_bm25_top3(spark, folder):
+    """The same answers with postings of frequent terms left out, as beyond PRUNE_FROM matched rows."""
+    return rounded(lx.bm25_top_k(plain_corpus(spark, folder), plain_questions(spark, folder), 3, prune_from=0))
+
+
 @query(
     "bm25_batch_top5",
     f"""WITH {bm25_ctes(delta=0.5)} SELECT {RANKED_COLUMNS.format(score="score")}
@@ -90,6 +100,15 @@ def tfidf_top3(spark, folder):
     return rounded(lx.tfidf_top_k(corpus(spark, folder), questions(spark, folder), 3))
 
 
+@query(
+    "pruned_tfidf_top3",
+    f"""WITH {tfidf_ctes()} SELECT {RANKED_COLUMNS.format(score="cosine")}
+FROM ({ranked("tf_all", 3, "cosine")})""",
+)
+def pruned_tfidf_top3(spark, folder):
+    return rounded(lx.tfidf_top_k(corpus(spark, folder), questions(spark, folder), 3, prune_from=0))
+
+
 EMBEDDING_PAIRS = """pairs AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id,
   list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score
   FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id)"""
@@ -226,14 +245,21 @@ def parsed_lists(spark, folder):
     return parse_ranked_lists(ranked_lists(ranking))
 
 
-def hybrid(spark, folder, k=5):
+def turn_questions(spark, folder):
+    """Every conversation turn as a question."""
+    return table(spark, folder, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question")
+    )
+
+
+def hybrid(spark, folder, k=5, ask=questions):
     """All three scores over all documents: BM25+ on cleaned, the others on raw texts.
 
     Questions that the cleaning chain empties are not asked.
     """
     docs = corpus(spark, folder)
     clean_docs = docs.withColumn("content", clean_for_embedding(F.col("content")))
-    asked, _ = rt.clean_questions(questions(spark, folder))
+    asked, _ = rt.clean_questions(ask(spark, folder))
     cleaned = asked.select("query_id", F.col("clean").alias("question"))
     return rt.hybrid_top_k(
         lx.store_index(clean_docs, asked=lx.query_terms(cleaned)),
@@ -266,6 +292,17 @@ def hybrid_top5(spark, folder):
     return rounded(hybrid(spark, folder))
 
 
+@query(
+    "hybrid_turns_top3",
+    f"""WITH benchmark AS (SELECT conv_id * 1000 + turn AS item_id, text FROM conversations),
+{HYBRID_CTES.replace(ranked("fused", 5, "fused"), ranked("fused", 3, "fused"))}
+SELECT {RANKED_COLUMNS.format(score='fused')} FROM best""",
+)
+def hybrid_turns_top3(spark, folder):
+    """The hybrid search for every turn of every conversation at once."""
+    return rounded(hybrid(spark, folder, 3, turn_questions))
+
+
 @query(
     "context_prompt",
     f"""WITH {HYBRID_CTES}, ctx AS (SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS context

@@ -231,7 +231,7 @@ def reindex_all(spark, folder):
     terms = tb.read_index(spark, f"{path}/bm25").terms.select(
         F.lit("term").alias("kind"), F.col("term").alias("key"), F.col("df").cast("double").alias("value")
     )
-    norms = spark.read.parquet(f"{path}/tfidf/norms").select(
+    norms = tb.read_index(spark, f"{path}/tfidf").chunks.filter("norm IS NOT NULL").select(
         F.lit("norm").alias("kind"), F.col("chunk_id").cast("string").alias("key"), F.round("norm", 6).alias("value")
     )
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))

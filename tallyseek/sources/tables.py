@@ -14,11 +14,12 @@ from tallyseek.functions.text import whitespace_tokens, word_tokens
 from tallyseek.operators.dense import hashed_embedding
 from tallyseek.operators.lexical import (
     LexicalIndex,
+    chunk_rows,
+    idf_table,
     index_of,
     term_rows,
-    tfidf_norms,
-    tfidf_weights,
 )
+from tallyseek.operators.pruning import frequent_terms
 from tallyseek.operators.positions import with_group_position
 from tallyseek.operators.ranking import ranked_lists
 from tallyseek.operators.sizing import materialize
@@ -96,26 +97,32 @@ def read_embeddings_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_index(chunks: DataFrame, path: str, tokenizer=whitespace_tokens) -> LexicalIndex:
-    """Build and write the index; the term table is counted from the written rows.
+    """Build and write the index; every table but the first is counted from the written rows.
 
     Rows are sorted by term within each file, so a reader that asks for few terms skips row
     groups.
     """
+    spark = chunks.sparkSession
     rows = term_rows(chunks, tokenizer)
     rows.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/rows")
-    written = index_of(chunks.sparkSession.read.parquet(f"{path}/rows"))
+    rows = spark.read.parquet(f"{path}/rows")
+    written = index_of(rows)
     written.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    return read_index(chunks.sparkSession, path)
+    terms = spark.read.parquet(f"{path}/terms")
+    frequent_terms(terms).write.mode("overwrite").parquet(f"{path}/frequent")
+    idf = idf_table(terms, written.corpus.select("n").scalar())
+    chunk_rows(rows, spark.read.parquet(f"{path}/frequent"), idf).write.mode("overwrite").parquet(f"{path}/chunks")
+    return read_index(spark, path)
 
 
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:
     """Index over written tables; a missing table is an error."""
     try:
         index = index_of(spark.read.parquet(f"{path}/rows"))
-        terms = spark.read.parquet(f"{path}/terms")
+        chunks, terms, frequent = (spark.read.parquet(f"{path}/{name}") for name in ("chunks", "terms", "frequent"))
     except AnalysisException as missing:
         raise FileNotFoundError(f"no index under {path}") from missing
-    return replace(index, postings=index.postings.repartition("chunk_id"), terms=terms)
+    return replace(index, chunks=chunks, terms=terms, frequent=frequent, has_norms=True)
 
 
 def combine_sources(chunk_tables: list[DataFrame]) -> DataFrame:
@@ -177,9 +184,7 @@ def reindex_all(cleaned: DataFrame, raw: DataFrame, path: str) -> None:
     """
     spark = raw.sparkSession
     write_index(cleaned, f"{path}/bm25")
-    words = write_index(raw, f"{path}/tfidf", word_tokens)
-    norms = tfidf_norms(tfidf_weights(words))
-    norms.write.mode("overwrite").parquet(f"{path}/tfidf/norms")
+    write_index(raw, f"{path}/tfidf", word_tokens)
     vectors = hashed_embedding(raw, "chunk_id", F.col("content"))
     write_embeddings(vectors, f"{path}/vectors")
     spark.catalog.refreshByPath(path)

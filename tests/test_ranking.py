@@ -63,6 +63,45 @@ def test_batch_delta_changes_the_baseline(docs, asked):
     assert best[3] == pytest.approx(-brute_bm25(delta=0.5)[3][0][0])
 
 
+@pytest.mark.parametrize(("ranker", "rows"), [(lx.bm25_top_k, 1_000_000), (lx.tfidf_top_k, 0)])
+def test_pruned_answers_are_the_whole_ones(spark, ranker, rows, monkeypatch):
+    """Few slots, so that rare and frequent terms, floors and the shuffle join all take part."""
+    import random
+
+    from tallyseek.operators import pruning
+
+    monkeypatch.setattr(lx, "frequent_terms", lambda terms: pruning.frequent_terms(terms, 12))
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    weights = [1 / (i + 1) for i in range(200)]
+    texts = [(i, " ".join(rng.choices(words, weights, k=rng.randint(1, 80)))) for i in range(300)] + [(900, None), (901, "")]
+    texts += [(1000 + i, texts[i][1]) for i in range(20)]
+    docs = spark.createDataFrame(texts, "chunk_id long, content string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, weights, k=rng.randint(1, 12)))) for i in range(25)] + [(99, "none")], "query_id long, question string")
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert key(ranker(docs, asked, 4, broadcast_rows=rows, prune_from=0)) == key(ranker(docs, asked, 4))
+
+
+def test_floors_leave_out_postings(spark, monkeypatch):
+    """Frequent postings are matched only above their floors."""
+    import random
+
+    from tallyseek.operators import pruning
+
+    monkeypatch.setattr(lx, "frequent_terms", lambda terms: pruning.frequent_terms(terms, 41))
+    rng = random.Random(5)
+    texts = [(i, " ".join(["the"] * rng.randint(1, 3) + [f"f{i % 40}"] * rng.randint(1, 4) + [f"r{i % 997}"])) for i in range(2000)]
+    docs = spark.createDataFrame(texts, "chunk_id long, content string")
+    asked = spark.createDataFrame([(i, f"the f{i} r{i}") for i in range(30)], "query_id long, question string")
+    index = lx.store_index(docs)
+    weighted = lx.materialize(lx.bm25_query_weights(index, lx.query_terms(asked)))
+    measure = lx.bm25_measure(index)
+    scorer = pruning.Scorer(index, weighted, measure, prune_from=0)
+    floors = pruning.term_floors(index, weighted, scorer.thresholds(1), measure)
+    matched = scorer.rare.count() + pruning.frequent_pairs(index, floors, measure).count()
+    assert matched * 10 <= lx.match(index.postings, weighted).count()
+
+
 @pytest.mark.parametrize("rows", [1_000_000, 0])
 def test_tfidf_broadcast_and_split_joins_agree(spark, rows):
     docs = spark.createDataFrame(
@@ -151,7 +190,7 @@ def test_top_k_breaks_ties_by_id(spark):
     assert [(r.chunk_id, r["rank"]) for r in top_k(scores, 2).orderBy("rank").collect()] == [(2, 1), (9, 2)]
 
 
-def test_hybrid_blocks_agree(spark, docs):
+def test_hybrid_depths_agree(spark, docs):
     questions = spark.createDataFrame(
         [(i, t, t) for i, t in enumerate(["a b", "e", "zz", "d a", "c"])],
         "query_id long, question string, clean string",
@@ -166,7 +205,8 @@ def test_hybrid_blocks_agree(spark, docs):
         2,
     )
     key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
-    assert key(rt.hybrid_top_k(*args)) == key(rt.hybrid_top_k(*args, block=2))
+    whole = key(rt.hybrid_top_k(*args, depth=100))
+    assert key(rt.hybrid_top_k(*args, depth=1)) == whole == key(rt.hybrid_top_k(*args, depth=2, prune_from=0))
 
 
 def test_questions_without_tokens_are_rejected(spark):
