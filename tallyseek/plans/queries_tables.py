@@ -20,6 +20,7 @@ from tallyseek.plans.registry import query
 from tallyseek.plans.sqltext import bm25_ctes, plain, quoted, ranked, tfidf_ctes, tokens, words
 from tallyseek.sources import readers as rd
 from tallyseek.sources import tables as tb
+from tallyseek.sources.segments import SegmentedIndex
 from tallyseek.streaming.ingest import read_ingested, start_ingest
 from tallyseek.streaming.questions import start_answers
 
@@ -241,6 +242,28 @@ def reindex_all(spark, folder):
     return terms.unionByName(norms).unionByName(vectors)
 
 
+@query(
+    "segmented_index",
+    f"""WITH d AS (SELECT doc_id, {tokens(plain("text"))} AS tk FROM documents
+  WHERE source <> 'src3' AND {plain("text")} <> '')
+SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(tk) AS term FROM d)
+GROUP BY term""",
+)
+def segmented_index(spark, folder):
+    """Sources ingested in two segments, one of them replaced by a third, one deleted, all merged: the term table read in full."""
+    docs = plain_corpus(spark, folder)
+    index = SegmentedIndex(spark, run_folder(spark, "segments"))
+    index.ingest(docs.filter("source <> 'src1'"))
+    index.ingest(docs.filter("source = 'src1'").withColumn("content", F.concat_ws(" ", F.lit("earlier"), "content")))
+    index.ingest(docs.filter("source = 'src1'"))
+    index.delete("src3")
+    before = index.read()
+    index.merge()
+    # The reader of the version before the merge and the one after it see the same corpus.
+    counts = before.terms.withColumnRenamed("df", "old").join(index.read().terms, "term", "full")
+    return counts.select("term", F.when(F.col("old").eqNullSafe(F.col("df")), F.col("df")).alias("df"))
+
+
 @query(
     "stored_index_top3",
     f"""WITH {bm25_ctes()} SELECT query_id, chunk_id, round(score, 6) AS score,
