@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyseek.operators.sizing import materialize
+from tallyseek.operators.sizing import attach, materialize
 
 # The six ASCII blanks: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -76,18 +76,18 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def bounded_sample(docs: DataFrame, key: str, rows: int, by: str | None = None) -> DataFrame:
-    """About `rows` rows (per value of `by`, if given), chosen by a hash of `key`; all of them if there are fewer.
+    """About `rows` rows (per value of `by`, if given; none of a null one), all of them if there are fewer.
 
-    Only for fitting classifiers.  One counting pass; the share is a number, no sort and no limit.
+    Only for fitting classifiers.  Every row has a draw of its own, from `key` and its number, so rows that share an id, or
+    have none, are neither all in nor all out.  One counting pass; the share is a number, no sort and no limit, and values of `by` may be as
+    many as they like.  Numbers hold for one reading: store what is read more than once.
     """
-    place = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
+    numbered = docs.withColumn("_number", F.monotonically_increasing_id())
+    place = F.pmod(F.xxhash64(F.col(key), F.col("_number"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     if by is None:
-        return docs.filter(place < rows / max(docs.count(), 1))
-    counts = docs.groupBy(by).count().orderBy(F.desc("count"), by).limit(500).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(by) == r[by], rows / r["count"]).otherwise(share)
-    return docs.filter(place < share)
+        return numbered.filter(place < rows / max(docs.count(), 1)).drop("_number")
+    counts = docs.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_of"))
+    return attach(numbered, counts, by).filter(place < rows / F.col("_of")).select(docs.columns)
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyseek.llm.common import bounded_sample
+from tallyseek.llm.common import bounded_sample, stored
 
 # Bounds of the fitted model: training documents per language, words and n-grams kept per language.
 TRAIN_DOCS = 3000
@@ -107,7 +107,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_backoff(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key: str = "doc_id") -> BackoffModel:
     """Fit on at most about TRAIN_DOCS documents per language that has one; null languages teach nothing."""
     sample = bounded_sample(docs.filter(F.col(lang_col).isNotNull()), key, TRAIN_DOCS, by=lang_col)
-    words = (
+    words = stored(
         sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         .mapInArrow(_count_words, "lang string, word string, n long")
         .groupBy("lang", "word")

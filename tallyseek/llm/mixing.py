@@ -55,9 +55,10 @@ def source_targets(
     return table.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def draw(id_column: str) -> Column:
-    """60 hash bits of an id as 15 hexadecimal digits: fixed, so reruns and other engines draw the same."""
-    return F.substring(F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
+def draw(*parts: Column) -> Column:
+    """60 hash bits of values as 15 hexadecimal digits: fixed, so reruns and other engines draw the same."""
+    joined = F.concat_ws(":", *[F.coalesce(part.cast("string"), F.lit("")) for part in parts])
+    return F.substring(F.md5(joined.cast("binary")), 1, DIGITS * LEVELS)
 
 
 def mix_sources(
@@ -76,7 +77,8 @@ def mix_sources(
     budget goes to the documents with the smallest hashes.  The hash threshold is found from
     histograms of words by source and hash bucket: all buckets below the one where the budget runs out are taken, and only
     that bucket is split further, level by level.  The document on the threshold is taken in part, so a source's taken words are its target rounded down.
-    Documents with the same hash on the threshold (repeated ids) share the rest in proportion, rounded down.
+    Hashes are of id and text; if equal rows of both meet on the threshold, it is refined further by a hash of the row's number, so that
+    a source's words come out the same however many of its ids are null or repeated.
     Null texts and empty texts have size 0 and take 0; null sources are one source; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -85,9 +87,9 @@ def mix_sources(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             words(text_col).alias("size"),
-            draw(id_col).alias("h"),
-            *([F.col(row_col).cast("long").alias("row")] if row_col else []),
-        )
+            draw(F.col(id_col), F.col(text_col)).alias("h"),
+            (F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()).alias("row"),
+        ).withColumn("h", F.concat("h", draw(F.col("row"))))
     )
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most).withColumn(
@@ -98,19 +100,23 @@ def mix_sources(
         targets.withColumn("rest", (F.floor("target") - F.col("whole") * F.col("source_size")).cast("long"))
         .withColumn("prefix", F.lit(""))
     )
-    for level in range(LEVELS):
-        upto = DIGITS * (level + 1)
+    level = 0
+    # The second half of the levels tells equal rows apart and is needed only if some meet on a threshold.
+    while level < LEVELS or (level < 2 * LEVELS and not state.filter("rest > 0 AND edge_rows > 1").isEmpty()):
+        level += 1
+        upto = DIGITS * level
         inside = narrow.filter("size > 0").join(
             state.filter("rest > 0").select(F.col("source").alias("s"), "prefix"),
             F.col("source").eqNullSafe(F.col("s")) & F.col("h").startswith(F.col("prefix")),
         )
         bucket = F.substring("h", 1, upto).alias("bucket")
-        hist = inside.groupBy("source", bucket).agg(F.sum("size").alias("words"))
+        hist = inside.groupBy("source", bucket).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         # At most 4096 buckets per source and level.
         running = hist.select(
             F.col("source").alias("s"),
             "bucket",
             "words",
+            "n",
             F.sum("words").over(Window.partitionBy("source").orderBy("bucket")).alias("upto"),
         )
         open_bucket = (
@@ -119,7 +125,7 @@ def mix_sources(
             )
             .filter("upto > wanted AND upto - words <= wanted")
             .groupBy("s")
-            .agg(F.min(F.struct("bucket", (F.col("wanted") - F.col("upto") + F.col("words")).alias("left"), "words")).alias("b"))
+            .agg(F.min(F.struct("bucket", (F.col("wanted") - F.col("upto") + F.col("words")).alias("left"), "words", "n")).alias("b"))
         )
         joined = state.join(open_bucket, F.col("source").eqNullSafe(F.col("s")), "left")
         state = stored(
@@ -128,13 +134,15 @@ def mix_sources(
                 F.when(F.col("b").isNotNull(), F.col("b.left")).otherwise(F.col("rest")).alias("rest"),
                 F.coalesce("b.bucket", "prefix").alias("prefix"),
                 F.when(F.col("b").isNotNull(), F.col("b.words")).alias("edge_words"),
+                F.when(F.col("b").isNotNull(), F.col("b.n")).alias("edge_rows"),
             )
         )
     thresholds = state.withColumnRenamed("source", "s")
+    known = F.substring("h", 1, DIGITS * level)
     part = (
-        F.when(F.col("h") < F.col("prefix"), F.col("size"))
+        F.when(known < F.col("prefix"), F.col("size"))
         .when(
-            (F.col("h") == F.col("prefix")) & (F.col("edge_words") > 0),
+            (known == F.col("prefix")) & (F.col("edge_words") > 0),
             F.floor(F.col("rest") * F.col("size") / F.col("edge_words")),
         )
         .otherwise(F.lit(0))

@@ -154,7 +154,7 @@ QUERIES: dict[str, Query] = {
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -178,13 +178,10 @@ WITH RECURSIVE d AS (
   SELECT *, CAST(floor(target) AS BIGINT) - whole * source_size AS rest FROM w
 ), o AS (
   SELECT d.doc_id, d.size, r.source_size, r.target, r.whole, r.rest,
-         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE UNBOUNDED PRECEDING) AS BIGINT) AS upto,
-         CAST(sum(d.size) OVER (PARTITION BY d.source, d.h) AS BIGINT) AS tied
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 )
-SELECT doc_id, size, source_size, target,
-       whole * size + CASE WHEN upto <= rest THEN size WHEN upto - tied >= rest OR tied = 0 THEN 0
-                           ELSE (rest - upto + tied) * size // tied END AS taken
+SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size, rest - upto + size)) AS taken
 FROM o
 """
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyseek.llm.common import bounded_sample
+from tallyseek.llm.common import bounded_sample, stored
 
 # Bounds of the fitted model.
 TRAIN_DOCS = 12_000
@@ -227,9 +227,8 @@ def _told_by(feature: str, chosen: list[str]) -> bool:
 
 def fit_grammar(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", key: str = "doc_id") -> ClauseGrammar:
     """Learn lexicon and pattern weights from at most about TRAIN_DOCS labelled rows; null labels teach nothing."""
-    sample = bounded_sample(labelled.filter(F.col(label_col).isNotNull()), key, TRAIN_DOCS).select(
-        F.col(text_col).alias("text"), (F.col(label_col) > 0).alias("toxic")
-    )
+    drawn = bounded_sample(labelled.filter(F.col(label_col).isNotNull()), key, TRAIN_DOCS)
+    sample = stored(drawn.select(F.col(text_col).alias("text"), (F.col(label_col) > 0).alias("toxic")))
     counts = (
         sample.mapInArrow(_count_features, "feature string, toxic int, n long")
         .groupBy("feature")
