@@ -75,19 +75,24 @@ def connected(links: DataFrame) -> DataFrame:
             return roots
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a `_number` that tells them apart; add it to a table before a join, so that a sample is drawn below the join."""
+    return docs.withColumn("_number", F.monotonically_increasing_id())
+
+
 def bounded_sample(docs: DataFrame, key: str, rows: int, by: str | None = None) -> DataFrame:
-    """About `rows` rows (per value of `by`, if given; none of a null one), all of them if there are fewer.
+    """About `rows` rows (per value of `by`, if given; none of a null one), all of them if there are fewer.  `_number` is used if `docs` has one.
 
     Only for fitting classifiers.  Every row has a draw of its own, from `key` and its number, so rows that share an id, or
     have none, are neither all in nor all out.  One counting pass; the share is a number, no sort and no limit, and values of `by` may be as
     many as they like.  Numbers hold for one reading: store what is read more than once.
     """
-    numbered = docs.withColumn("_number", F.monotonically_increasing_id())
+    told = docs if "_number" in docs.columns else numbered(docs)
     place = F.pmod(F.xxhash64(F.col(key), F.col("_number"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     if by is None:
-        return numbered.filter(place < rows / max(docs.count(), 1)).drop("_number")
+        return told.filter(place < rows / max(docs.count(), 1)).select(docs.columns)
     counts = docs.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_of"))
-    return attach(numbered, counts, by).filter(place < rows / F.col("_of")).select(docs.columns)
+    return attach(told, counts, by).filter(place < rows / F.col("_of")).select(docs.columns)
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:

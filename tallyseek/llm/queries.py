@@ -26,7 +26,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     grades = labels.groupBy("doc_id").agg(F.max(F.col("quality") * (2 - F.col("toxic"))).alias("grade"))
     learn = common.crc_part("doc_id", 5) != 0
-    model = quality.fit_quality(docs.filter(learn).join(grades, "doc_id").select("doc_id", "text", "grade"))
+    rated = common.numbered(docs).filter(learn).join(grades, "doc_id")
+    model = quality.fit_quality(rated.select("doc_id", "text", "grade", "_number"))
     held = docs.withColumn("held_out", ~learn)
     return quality.score_quality(held, model, ["doc_id", "held_out"])
 
@@ -49,7 +50,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     learn = common.crc_part("doc_id", 5) != 0
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.fit_grammar(docs.filter(learn).join(marks, "doc_id").select("doc_id", "text", "toxic"))
+    labelled = common.numbered(docs).filter(learn).join(marks, "doc_id")
+    model = toxicity.fit_grammar(labelled.select("doc_id", "text", "toxic", "_number"))
     return toxicity.score_toxicity(docs.withColumn("held_out", ~learn), model, ["doc_id", "held_out"])
 
 
