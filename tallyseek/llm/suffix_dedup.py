@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyseek.llm.common import pack, shuffle_parts, stored, text_or_empty, unpack
 from tallyseek.llm.shingles import mix
+from tallyseek.operators.sizing import attach
 
 LENGTH, ANCHOR = 100, 32
 SHALLOW = 32
@@ -406,13 +407,13 @@ def _shuffle_width(docs: DataFrame) -> int:
 
 def repeated_spans(docs: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
     """(doc_id, version, start, end) byte spans covered by repeated strings; `docs` has doc_id (no nulls), version, text."""
-    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
+    found = docs.select(_node().alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
         _anchor_rows(length, parts), "part int, known boolean, payload binary"
     )
     places = found.repartition(parts, "part").mapInArrow(_shared_places, "doc_id long, place int")
-    by_doc = stored(places.groupBy("doc_id").agg(F.collect_list("place").alias("places")))
+    by_doc = stored(places.groupBy("doc_id").agg(F.collect_set("place").alias("places")))
     wanted = by_doc.withColumnRenamed("doc_id", "id").hint("shuffle_hash")
-    given = _placed(docs, parts).join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "version", "places", "text")
+    given = _placed(docs, parts).join(wanted, F.col("node") == F.col("id")).select("doc_id", "version", "places", "text")
     runs = given.mapInArrow(_runs(length), RUN_FIELDS)
     return runs.repartition(parts, "key").mapInArrow(
         _sorted_marks(length), "doc_id long, version long, start int, end int"
@@ -420,8 +421,13 @@ def repeated_spans(docs: DataFrame, parts: int, length: int = LENGTH) -> DataFra
 
 
 def _placed(docs: DataFrame, parts: int) -> DataFrame:
-    """Texts as bytes, dealt by id; both joins of a job read this one exchange."""
-    return docs.select("doc_id", "version", F.col("text").cast("binary").alias("text")).repartition(parts, "doc_id")
+    """Texts as bytes, dealt by document; both joins of a job read this one exchange."""
+    return docs.select(_node().alias("node"), "doc_id", "version", F.col("text").cast("binary").alias("text")).repartition(parts, "node")
+
+
+def _node() -> Column:
+    """One number for each document: the id, or 64 hash bits of id and version where rows share an id."""
+    return F.when(F.col("version") == 0, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "version"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -433,16 +439,18 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     """
     given = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text")
-    ).withColumn("version", F.xxhash64("text"))
+    )
+    repeats = stored(given.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("again")))
+    # Rows that share an id, or have none, are told by their text, so that none gets the others' places.
+    given = attach(given, repeats, "doc_id").select("doc_id", "text", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("version"))
     parts = _shuffle_width(given)
     spans = (
         repeated_spans(given, parts, length)
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("version", "start", "end")).alias("spans"))
-        .withColumnRenamed("doc_id", "id")
+        .groupBy(_node().alias("id"))
+        .agg(F.collect_set(F.struct("version", "start", "end")).alias("spans"))
         .hint("shuffle_hash")
     )
-    joined = _placed(given, parts).join(spans, F.col("doc_id") == F.col("id"), "left")
+    joined = _placed(given, parts).join(spans, F.col("node") == F.col("id"), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

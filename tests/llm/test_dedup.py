@@ -69,6 +69,22 @@ def test_suffix_dedup_on_random_repeats(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id, texts[r.doc_id]], r.doc_id
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_suffix_dedup_tells_rows_of_one_id_by_their_text(spark, doc_id):
+    """Many texts without an id, or with one id, that share a line: no text gets another one's spans, and repeated rows lose the same."""
+    line = sentences(31, 30)
+    texts = [sentences(100 + i, 40) + " " + line + " " + sentences(900 + i, 25) for i in range(120)]
+    rows = [(doc_id, t) for t in texts] + [(doc_id, texts[0])] * 3 + [(1, line)]
+    found = suffix_dedup.suffix_dedup(edge_docs(spark, rows)).collect()
+    assert len(found) == len(rows)
+    mine = [r for r in found if r.doc_id == doc_id]
+    # Only the line repeats; with id 7 it comes first in document 1, without an id too, since null ids are last.
+    assert all(r.n_spans == 1 and len(line) <= r.n_removed < len(line) + 12 for r in mine)
+    raws = Counter(bytes(r.kept) for r in mine)
+    assert sum(raws.values()) == 123 and max(raws.values()) == 4 and len(raws) == 120
+    assert [r.n_removed for r in found if r.doc_id == 1] == [0]
+
+
 def test_deep_shallow_orders_and_finds_equals():
     rng = np.random.default_rng(3)
     data = bytes(rng.integers(97, 99, 3000, dtype=np.uint8)) * 2
