@@ -225,6 +225,23 @@ def test_connected_components(spark):
     assert found == {x: find(x) for x in list(root)}
 
 
+def test_recall_of_near_passages_around_a_common_line(spark):
+    """Every two of 120 texts share a near passage (similarity 0.84) around a line that all of them hold: all pairs against brute force."""
+    line = sentences(41, 40).split()
+    rows = []
+    for i in range(120):
+        pair = i % 60
+        passage = sentences(2000 + pair, 12).split() + line + sentences(3000 + pair, 12).split()
+        if i >= 60:
+            passage[4 if pair % 2 else -5] = "edited"
+        rows.append((i, " ".join(sentences(5000 + i, 30).split() + passage + sentences(7000 + i, 30).split())))
+    grams = [word_shingles(" ".join(t.split()[30:94])) for _, t in rows]
+    needed = {(i, j) for i in range(120) for j in range(i) if jaccard(grams[i], grams[j]) >= 0.8}
+    assert needed == {(i + 60, i) for i in range(60)}
+    found = {(r.doc_id, r.other_id) for r in passages.near_passages(edge_docs(spark, rows)).collect()}
+    assert found <= needed and len(found) >= 0.9 * len(needed), (len(found), found - needed)
+
+
 def _hashed(words: list[str]):
     return shingles.shingle_hashes(*shingles.word_hashes([" ".join(words).encode()]), short=False)[0]
 
