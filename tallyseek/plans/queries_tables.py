@@ -17,7 +17,7 @@ from tallyseek.plans.facts import corpus, questions, table
 from tallyseek.plans.queries_retrieval import plain_corpus, plain_questions, rounded
 from tallyseek.plans.queries_text import clean_sql
 from tallyseek.plans.registry import query
-from tallyseek.plans.sqltext import bm25_ctes, plain, quoted, ranked, tfidf_ctes, tokens, words
+from tallyseek.plans.sqltext import bm25_ctes, chunks_sql, plain, quoted, ranked, tfidf_ctes, tokens, words
 from tallyseek.sources import readers as rd
 from tallyseek.sources import tables as tb
 from tallyseek.sources.segments import SegmentedIndex
@@ -307,6 +307,8 @@ def result_tables(spark, folder):
 
 @query(
     "chunk_counts",
+    f"""SELECT source, count(*) AS chunks, max(length(content))::INT AS longest
+FROM ({chunks_sql("SELECT page_id::VARCHAR AS source, html AS content FROM pages")}) GROUP BY source""",
 )
 def chunk_counts(spark, folder):
     """Pages with their markup, chunked; chunks and longest chunk per page."""

@@ -10,7 +10,7 @@ from tallyseek.operators import corpus_stats as cs
 from tallyseek.operators.chunking import chunk_texts
 from tallyseek.plans.facts import corpus, table
 from tallyseek.plans.registry import query
-from tallyseek.plans.sqltext import BLANK, normal_sql, plain, quoted, tokens, words
+from tallyseek.plans.sqltext import BLANK, chunks_sql, normal_sql, plain, quoted, tokens, words
 
 
 # The words Spark removes by default for English, as the oracle needs them.
@@ -244,7 +244,7 @@ def noisy_sales(spark, folder):
     return noisy.select("o_orderkey", F.round("noisy", 2).alias("noisy"))
 
 
-@query("chunk_documents")
+@query("chunk_documents", chunks_sql("SELECT doc_id::VARCHAR AS source, text AS content FROM documents"))
 def chunk_documents(spark, folder):
     """Every document cut into overlapping chunks."""
     texts = corpus(spark, folder).select(

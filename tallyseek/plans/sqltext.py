@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyseek.functions.text import ASCII_PUNCTUATION
+from tallyseek.operators.chunking import BLANKS, CHUNK_OVERLAP, CHUNK_SIZE
 from tallyseek.operators.ranking import RANK_DECIMALS
 
 BLANK = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
@@ -116,3 +117,53 @@ hv_all AS (SELECT q.key AS query_id, d.key AS chunk_id,
   coalesce(dot, 0) / (q.norm * d.norm) AS cosine
   FROM hv_q_norm q CROSS JOIN hv_d_norm d
   LEFT JOIN hv_dot t ON t.query_id = q.key AND t.chunk_id = d.key)"""
+
+
+def _cut_sql(given: str, text: str, separator: str, number: str) -> str:
+    """Rows of `given` with the numbered, non-empty pieces of their text; a null separator leaves the text whole."""
+    return f"""SELECT * EXCLUDE (parts), i AS {number}, CASE WHEN i = 1 THEN parts[i] ELSE {separator} || parts[i] END AS piece
+FROM (SELECT *, coalesce(string_split({text}, {separator}), [{text}]) AS parts FROM {given}), unnest(range(1, len(parts) + 1)) AS u(i)
+WHERE i > 1 OR parts[1] <> ''"""
+
+
+def chunks_sql(texts: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> str:
+    """Chunks of (source, content) by paragraphs, then lines, as a walk from piece to piece.
+
+    A chunk that begins with a piece reaches the last one that ends within `size`; the next begins with the first piece that may be repeated
+    before the piece that did not fit.  Both are window frames over the pieces' places; only the walk is recursive.
+    """
+    line = "chr(10)"
+    paragraph = f"{line} || {line}"
+    part = "PARTITION BY source, island ORDER BY"
+    return f"""WITH RECURSIVE given AS (
+  SELECT source, content, CASE WHEN contains(content, {paragraph}) THEN {paragraph} WHEN contains(content, {line}) THEN {line} END AS sep
+  FROM ({texts}) WHERE content IS NOT NULL),
+coarse AS ({_cut_sql("given", "content", "sep", "a")}),
+refined AS (
+  SELECT source, a, piece AS outer_piece, CASE WHEN length(piece) >= {size} AND length(sep) = 2 AND contains(piece, {line}) THEN {line} END AS sep
+  FROM coarse),
+pieces AS (
+  SELECT source, piece, length(piece) AS n, length(piece) >= {size} AS whole, CASE WHEN sep IS NULL THEN 0 ELSE a END AS run,
+    row_number() OVER (PARTITION BY source ORDER BY a, b) AS seq
+  FROM ({_cut_sql("refined", "outer_piece", "sep", "b")})),
+marked AS (
+  SELECT *, coalesce(whole OR lag(whole) OVER w OR run <> lag(run) OVER w, true) AS fresh FROM pieces WINDOW w AS (PARTITION BY source ORDER BY seq)),
+islands AS (
+  SELECT *, sum(fresh::INT) OVER w AS island, sum(n) OVER w - n AS place FROM marked WINDOW w AS (PARTITION BY source ORDER BY seq)),
+jumps AS (
+  SELECT source, island, seq, piece,
+    max(seq) OVER ({part} place + n RANGE BETWEEN CURRENT ROW AND {size} - n FOLLOWING) AS last,
+    min(seq) OVER ({part} place RANGE BETWEEN least({overlap}, {size} - n) PRECEDING AND CURRENT ROW) AS back
+  FROM islands WHERE NOT whole),
+walk AS (
+  SELECT source, island, min(seq) AS seq FROM jumps GROUP BY ALL
+  UNION ALL
+  SELECT j.source, j.island, n.back FROM walk w JOIN jumps j ON j.source = w.source AND j.seq = w.seq
+  JOIN jumps n ON n.source = j.source AND n.island = j.island AND n.seq = j.last + 1),
+made AS (
+  SELECT w.source, w.seq, trim(string_agg(p.piece, '' ORDER BY p.seq), {quoted(BLANKS)}) AS content
+  FROM walk w JOIN jumps j ON j.source = w.source AND j.seq = w.seq
+  JOIN islands p ON p.source = w.source AND p.seq BETWEEN j.seq AND j.last GROUP BY ALL
+  UNION ALL SELECT source, seq, piece FROM islands WHERE whole)
+SELECT pos::VARCHAR AS chunk_id, source, pos, content
+FROM (SELECT source, content, row_number() OVER (PARTITION BY source ORDER BY seq)::INT AS pos FROM made WHERE content <> '')"""
