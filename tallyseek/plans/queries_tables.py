@@ -46,6 +46,19 @@ def csv_round_trip(spark, folder):
     )
 
 
+@query(
+    "csv_in_ranges",
+    """SELECT doc_id::VARCHAR AS chunk_id, CAST(length(text) AS INTEGER) AS characters,
+  md5(text) AS digest FROM documents""",
+)
+def csv_in_ranges(spark, folder):
+    """The same, read in ranges by many tasks though cells hold line ends."""
+    path = run_folder(spark, "chunks-csv")
+    tb.write_chunk_csv(corpus(spark, folder), path)
+    chunks = rd.read_csv_ranges(spark, path)
+    return chunks.select("chunk_id", F.length("content").alias("characters"), F.md5("content").alias("digest"))
+
+
 @query(
     "json_corpus",
     """SELECT source || '-' || doc_id AS doc_id, CAST(length(text) AS INTEGER) AS characters,

@@ -7,12 +7,13 @@ from functools import reduce
 from os.path import splitext
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyseek.operators.chunking import chunk_texts
-from tallyseek.operators.sizing import attach
+from tallyseek.operators.sizing import attach, materialize
+from tallyseek.sources.records import cells, column_names, csv_records
 
 RETAIL_SCHEMA = T.StructType(
     [
@@ -62,6 +63,26 @@ def read_csv(
     return reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
 
 
+def read_csv_ranges(spark: SparkSession, path, schema: T.StructType | None = None) -> DataFrame:
+    """As `read_csv`, but a large file with line ends inside cells is read in ranges by many tasks.
+
+    Files share one header, whose names must be those of the schema, in order; without a schema every column is text.
+    Quotes stand around whole cells only (`records.csv_records`).
+    """
+    records = csv_records(spark, [path] if isinstance(path, str) else list(path))
+    names = column_names(cells(F.col("record"))).alias("names")
+    headers = records.filter("block = 0 AND at = 0").select(names).distinct().limit(2).collect()
+    if not headers:
+        return spark.createDataFrame([], schema or T.StructType())
+    if len(headers) > 1 or (schema is not None and schema.names != headers[0].names):
+        raise ValueError(f"headers differ: {[h.names for h in headers]}")
+    schema = schema or T.StructType([T.StructField(name, T.StringType()) for name in headers[0].names])
+    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    data = records.filter("block > 0 OR at > 0")
+    parsed = F.from_csv("record", F.lit(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)), options)
+    return data.select(parsed.alias("_row")).select("_row.*")
+
+
 def read_retail(spark: SparkSession, path) -> DataFrame:
     """Retail facts; the text `None` in `Event` is no event."""
     facts = read_csv(spark, path, RETAIL_SCHEMA)
@@ -121,24 +142,37 @@ def rows_to_text(rows: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def read_csv_texts(spark: SparkSession, path) -> DataFrame:
-    """`chunk_id, source, pos, content`: one chunk per CSV row, numbered from 1 per file."""
-    rows = read_csv(spark, path)
-    if not rows.head(1):
-        raise ValueError(f"no rows in {path}")
-    cells = rows.select(
-        "_metadata.file_name",
-        *[F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in rows.columns],
-    )
-    # A multi-line CSV file is read by one task, in order.
-    numbered = rows_to_text(cells, rows.columns).select(
-        F.col("file_name").alias("source"),
-        "content",
-        F.monotonically_increasing_id().alias("_at"),
+    """`chunk_id, source, pos, content`: one chunk per CSV row, numbered from 1 per file.
+
+    `path` may be a list; the files need not share columns, and all are read in one plan and in ranges.  A file without
+    rows is an error.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    records = csv_records(spark, paths)
+    counts = materialize(records.groupBy("path", "block").agg(F.count("*").alias("n"), F.min(F.struct("at", "record")).alias("first")))
+    by_file = counts.groupBy("path").agg(F.sum("n").alias("n"), F.min_by("first.record", "block").alias("header"))
+    files = materialize(by_file.select("path", "n", column_names(cells(F.col("header"))).alias("names")))
+    if few := files.filter("n < 2").first():
+        raise ValueError(f"no rows in {few.path}")
+    if len(set(spark.read.text(paths).inputFiles())) > files.count():
+        raise ValueError(f"no rows in some of {paths}")
+    if files.filter(F.size("names") < 2).first():
+        raise ValueError("row text needs at least two columns")
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select(
+        F.xxhash64("path", "block").alias("number"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.col("first.at").alias("lowest")
     )
-    first = numbered.groupBy("source").agg(F.min("_at").alias("_first"))
-    number = F.col("_at") - F.col("_first") + 1
-    return attach(numbered, first, "source").select(
-        number.cast("string").alias("chunk_id"), "source", number.cast("int").alias("pos"), "content"
+    numbered = attach(records.withColumn("number", F.xxhash64("path", "block")), begins, "number")
+    # The header is record 0 of its file.
+    pos = F.col("before") + F.col("at") - F.col("lowest")
+    rows = attach(numbered.withColumn("pos", pos).filter("pos > 0"), files.select("path", "names"), "path")
+    filled = F.transform(cells(F.col("record")), lambda cell: F.when(~cell.isin(*MISSING_TEXTS), cell))
+    pairs = F.transform("names", lambda name, i: F.concat(name, F.lit(" = "), F.coalesce(F.get("_cells", i), F.lit("nan"))))
+    return rows.withColumn("_cells", filled).select(
+        F.col("pos").cast("string").alias("chunk_id"),
+        F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("source"),
+        F.col("pos").cast("int").alias("pos"),
+        F.array_join(pairs, ", ").alias("content"),
     )
 
 
@@ -154,7 +188,7 @@ def read_chunks(spark: SparkSession, paths: list[str], extract=None) -> DataFram
     parts = []
     for extension, group in by_extension.items():
         if extension == ".csv":
-            parts += [read_csv_texts(spark, path).withColumn("clean", F.lit(False)) for path in group]
+            parts.append(read_csv_texts(spark, group).withColumn("clean", F.lit(False)))
             continue
         if extension == ".txt":
             texts = read_texts(spark, group)
