@@ -81,6 +81,22 @@ def json_corpus(spark, folder):
     )
 
 
+@query(
+    "json_objects",
+    "SELECT doc_id::VARCHAR AS doc_id, CAST(length(text) AS INTEGER) AS characters, md5(text) AS digest FROM documents",
+)
+def json_objects(spark, folder):
+    """Documents as one object of some 1000 in each file, read in ranges."""
+    path = run_folder(spark, "objects-json")
+    docs = corpus(spark, folder).select(F.col("chunk_id").cast("string").alias("key"), "content")
+    slices = docs.withColumn("file", F.pmod(F.xxhash64("key"), F.lit(max(1, docs.count() // 1000))))
+    entries = F.map_from_entries(F.collect_list(F.struct("key", "content")))
+    slices.groupBy("file").agg(F.to_json(entries).alias("value")).write.partitionBy("file").text(path)
+    return rd.read_corpus_json(spark, f"{path}/*").select(
+        "doc_id", F.length("content").alias("characters"), F.md5("content").alias("digest")
+    )
+
+
 @query(
     "text_files",
     "SELECT CAST(length(html) AS INTEGER) AS characters, md5(html) AS digest FROM pages",

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tallyseek.operators.chunking import chunk_texts
 from tallyseek.operators.sizing import attach, materialize
-from tallyseek.sources.records import cells, column_names, csv_records
+from tallyseek.sources.records import cells, column_names, csv_records, json_entries
 
 RETAIL_SCHEMA = T.StructType(
     [
@@ -92,10 +92,14 @@ def read_retail(spark: SparkSession, path) -> DataFrame:
 def read_corpus_json(spark: SparkSession, path, whole_files: bool = True) -> DataFrame:
     """Objects `{id: text}` as `doc_id, content`: one per file, or one per line.
 
-    Text that is no object is an error, and of repeated keys of an object the last counts.  A
-    whole file is one row, so a large corpus belongs in line-wise files.
+    Text that is no object is an error, and of repeated keys of an object the last counts.  A large object is read in
+    ranges by many tasks.
     """
-    objects = spark.read.text(path, wholetext=whole_files).filter(F.trim("value") != "")
+    if whole_files:
+        entries = json_entries(spark, [path] if isinstance(path, str) else list(path))
+        last = F.max_by("value", F.struct("block", "at")).alias("content")
+        return entries.groupBy("path", F.col("key").alias("doc_id")).agg(last).drop("path")
+    objects = spark.read.text(path).filter(F.trim("value") != "")
     entries = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
     numbered = objects.withColumn("_object", F.monotonically_increasing_id())
     listed = numbered.select("_object", F.posexplode(F.map_entries(entries)).alias("_at", "_entry"))

@@ -1,11 +1,12 @@
 import csv
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyseek.sources import readers as rd
-from tallyseek.sources.records import cells, csv_records
+from tallyseek.sources.records import cells, csv_records, json_entries
 
 
 @pytest.fixture()
@@ -90,3 +91,38 @@ def test_long_cells_do_not_recurse(spark):
     text = '"' + '""a' * 100_000 + '",b'
     row = spark.createDataFrame([(text,)], "t string").select(cells(F.col("t")).alias("c")).first()
     assert row.c == ['"a' * 100_000, "b"]
+
+
+def test_json_entries_equal_to_json_module(spark, small_ranges, tmp_path):
+    draw = random.Random(5)
+    pieces = ['"', "\\", ",", "{", "}", "[", "]", ":", "\n", " ", "ї", '\\"', ",,", "a"]
+    text = lambda: "".join(draw.choice(pieces) for _ in range(draw.choice([0, 2, 30, 300])))
+    deep = lambda n: [text(), {text(): deep(n - 1)}] if n else draw.choice([1.5, True, None, text()])
+    given = {f"{i}{text()}": text() if i % 4 else deep(i % 3) for i in range(80)}
+    for name, options in (("a", {}), ("b", {"indent": 1, "ensure_ascii": False}), ("c", {"separators": (",", ":")})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(given, **options) + "\n", encoding="utf-8")
+        found = {r.doc_id: r.content for r in rd.read_corpus_json(spark, str(tmp_path / f"{name}.json")).collect()}
+        assert found.keys() == given.keys()
+        for key, value in given.items():
+            assert found[key] == value if isinstance(value, str) or value is None else json.loads(found[key]) == value
+
+
+def test_json_ranges_and_repeated_keys(spark, small_ranges, tmp_path):
+    path = str(tmp_path / "a.json")
+    with open(path, "w") as file:
+        file.write("\ufeff {" + ", ".join(f'"{i % 50}": "{i}, {"x, " * 20}"' for i in range(150)) + "} \n")
+    entries = json_entries(spark, [path])
+    assert entries.select("block").distinct().count() > 10 and entries.count() == 150
+    assert {r.doc_id: r.content.split(",")[0] for r in rd.read_corpus_json(spark, path).collect()} == {str(i % 50): str(i) for i in range(100, 150)}
+
+
+def test_json_faults_and_empty_files(spark, tmp_path):
+    faults = ['{"a": "b"', '{"a": "b}', "[1, 2]", '{"a": 1} {"b": 2}', '{"a": 1}, {"b": 2}', '{"a": 1} {}', '{"a": 1}}', '{"a": 1,}', '{,"a": 1}', ', {"a": 1}', '{"a" 1}', "x"]
+    for i, text in enumerate(faults):
+        (tmp_path / f"f{i}.json").write_text(text)
+        with pytest.raises(Exception):
+            rd.read_corpus_json(spark, str(tmp_path / f"f{i}.json")).collect()
+            pytest.fail(text)
+    for i, text in enumerate(["", " \n", "{}", " { \n} "]):
+        (tmp_path / f"e{i}.json").write_text(text)
+    assert rd.read_corpus_json(spark, [str(tmp_path / f"e{i}.json") for i in range(4)]).count() == 0
