@@ -218,7 +218,7 @@ def _range_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _entries_together(batches: Iterator[pa.RecordBatch], torn: bool) -> Iterator[pa.RecordBatch]:
     """Rows (number, inside, depth, first, value) of what stands between commas, range by range, to entries without the outer braces."""
     parts, inside, depth, done = _Parts(torn, ","), 0, 0, False
-    fault = "a JSON file holds something else than one object"
+    fault = "malformed JSON: something else than one object"
 
     def within() -> bool:
         return bool(inside or depth > 1)
@@ -279,8 +279,8 @@ def json_entries(spark: SparkSession, paths: list[str]) -> DataFrame:
         ((F.pmod(F.sum("odd").over(whole), F.lit(2)) != 0) | (F.sum("change").over(whole) != 0)).alias("broken"),
     ))
     if broken := starts.filter("broken").first():
-        raise ValueError(f"no whole JSON object in {broken.path}")
-    entry = F.when(F.rlike("record", F.lit(r"\A\s*\z")), F.raise_error(F.lit("a JSON object holds an empty entry")).cast("string")).otherwise(
+        raise ValueError(f"malformed JSON: no whole object in {broken.path}")
+    entry = F.when(F.rlike("record", F.lit(r"\A\s*\z")), F.raise_error(F.lit("malformed JSON: an empty entry")).cast("string")).otherwise(
         F.concat(F.lit("{"), "record", F.lit("}"))
     )
     parsed = F.from_json(entry, "map<string,string>", {"mode": "FAILFAST"})
