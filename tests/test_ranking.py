@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,38 @@ def _vectors(spark, n, d, seed, key):
     return spark.createDataFrame(data, f"{key} long, embedding array<double>"), data
 
 
+@pytest.mark.parametrize("limits", [{}, {"block": 2, "cell_vectors": 7}])
+def test_nearest_of_a_table_in_itself(spark, limits):
+    """Both sides are one table with the same column; without length a vector neither finds nor is found."""
+    table, rows = _vectors(spark, 30, 6, 3, "vec_id")
+    vectors = table.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    questions = table.select(F.col("vec_id").alias("query_id"), "embedding")
+    found = dense.nearest(vectors, questions, 2, exclude_same_id=True, **limits).collect()
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in found}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if any(v)}
+    want = {
+        (q, at): i
+        for q, v in unit.items()
+        for at, (_, i) in enumerate(sorted((-round(float(v @ w), 9), i) for i, w in unit.items() if i != q)[:2], start=1)
+    }
+    assert got == want
+
+
+def test_nearest_over_slices_of_one_task(spark, monkeypatch):
+    """The best so far are carried from slice to slice, ties and the last slice included."""
+    rng = np.random.default_rng(4)
+    matrix = rng.normal(size=(50, 4))
+    matrix[40:] = matrix[:10]
+    frame = pd.DataFrame({"chunk_id": np.arange(50)[::-1], "embedding": list(matrix)})
+    asked = matrix[5:12] / np.linalg.norm(matrix[5:12], axis=1)[:, None]
+    monkeypatch.setattr(dense, "SLICE_SCORES", 42)
+    (found,) = dense._hits([frame[:20], frame[20:]], np.arange(7), asked, 3, False)
+    scores = np.round(matrix / np.linalg.norm(matrix, axis=1)[:, None] @ asked.T, 9)
+    for q, ids in found.groupby("query_id")["chunk_id"]:
+        best = sorted(zip(-scores[:, q], frame["chunk_id"]))[:3]
+        assert sorted(ids) == sorted(i for _, i in best)
+
+
 @pytest.mark.parametrize("limits", [{}, {"block": 4, "cell_vectors": 7}])
 def test_nearest_equals_brute_force(spark, limits):
     vectors, rows = _vectors(spark, 40, 6, 1, "chunk_id")
