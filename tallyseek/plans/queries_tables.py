@@ -13,7 +13,7 @@ from tallyseek.functions.text import clean_for_ranking, strip_punctuation, white
 from tallyseek.operators import lexical as lx
 from tallyseek.operators.chunking import chunk_texts
 from tallyseek.operators.sizing import run_folder
-from tallyseek.plans.facts import corpus, questions, table
+from tallyseek.plans.facts import corpus, questions, table, table_stream
 from tallyseek.plans.queries_retrieval import plain_corpus, plain_questions, rounded
 from tallyseek.plans.queries_text import clean_sql
 from tallyseek.plans.registry import query
@@ -399,12 +399,8 @@ def cleaned_for_ranking(spark, folder):
 def stream_ingest(spark, folder):
     """Documents arriving as a file stream become chunks; how many documents got chunks."""
     path = run_folder(spark, "ingest")
-    schema = table(spark, folder, "documents").schema
-    texts = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(folder)
-        .select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("content"))
+    texts = table_stream(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("source"), F.col("text").alias("content")
     )
     start_ingest(texts, path).awaitTermination()
     chunks, _ = read_ingested(spark, path)
@@ -442,15 +438,9 @@ def stream_answers(spark, folder):
     """Questions arriving as a file stream, answered from a stored index."""
     path = run_folder(spark, "answers")
     tb.reindex(plain_corpus(spark, folder), f"{path}/index")
-    schema = table(spark, folder, "benchmark").schema
-    asked = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "benchmark.parquet")
-        .parquet(folder)
-        .select(
-            F.col("item_id").alias("query_id"),
-            strip_punctuation(F.col("text")).alias("question"),
-        )
+    asked = table_stream(spark, folder, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        strip_punctuation(F.col("text")).alias("question"),
     )
 
     def answer(batch):

@@ -1,9 +1,12 @@
 import json
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tallyseek.operators import lexical as lx
+from tallyseek.plans.facts import table_stream
 from tallyseek.sources import readers as rd
 from tallyseek.sources import tables as tb
 from tallyseek.streaming.ingest import read_ingested, start_ingest
@@ -93,6 +96,24 @@ def test_ingest_stream_appends(spark, tmp_path):
     assert index.corpus.first().n == 2
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_table_streams_from_a_file_or_a_folder(spark, tmp_path, files):
+    """A table may be one file or a folder of files; other tables beside it are not read."""
+    for name, rows in (("documents", 7), ("documents2", 5)):
+        for part in range(files):
+            found = pa.table({"doc_id": list(range(part, rows, files))})
+            path = tmp_path / f"{name}.parquet"
+            if files > 1:
+                path.mkdir(exist_ok=True)
+                path = path / f"part-{part}.parquet"
+            pq.write_table(found, path)
+    stream = table_stream(spark, str(tmp_path), "documents")
+    out = str(tmp_path / "out")
+    started = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True)
+    started.start(out).awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == list(range(7))
+
+
 def test_same_file_names_in_several_folders(spark):
     """Rows that are equal in every order column are still told apart."""
     rows = [("1", "x.txt", 1)] * 3 + [("1_1", "y.txt", 1), (None, "x.txt", 2), (None, "x.txt", 2)]
