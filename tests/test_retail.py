@@ -8,6 +8,7 @@ from tallyseek.functions import calendar as cal
 from tallyseek.operators import features as ft
 from tallyseek.operators import forecasting as fc
 from tallyseek.operators import retail as rl
+from tallyseek.operators.corpus_stats import keyed_normal
 from tallyseek.operators.positions import with_group_position, with_position
 from tallyseek.plans import forecast as fo
 
@@ -164,6 +165,19 @@ def test_noise_is_keyed(spark):
     assert len(set(values)) == len(values)
 
 
+def test_noise_in_batches_is_the_keyed_draw(spark):
+    """A batch of rows draws what the column expression does: long and null keys, no values, arrays of several lengths."""
+    df = spark.createDataFrame(
+        [(-(2**62), [0.0] * 3), (7, [1.0]), (None, [0.0, 2.0]), (8, []), (9, None)], "k long, v array<double>"
+    )
+    rows = df.select("k", "v", ft.noisy(F.col("v"), F.col("k"), 0.5, 42).alias("n")).collect()
+    assert [r.n is None for r in rows] == [False] * 4 + [True]
+    for r in rows[:4]:
+        draws = [spark.range(1).select(keyed_normal(F.lit(r.k).cast("long"), 42 + i)).scalar() for i in range(len(r.v))]
+        draws = spark.range(1).select(F.array(*draws).cast("array<double>").alias("d")).first().d
+        assert r.n == pytest.approx([v + 0.5 * d for v, d in zip(r.v, draws)], abs=1e-12)
+
+
 def test_requests_are_validated(spark):
     requests = spark.createDataFrame(
         [("08.01.2025", "Holiday", "CatBoost"), ("2025", "Holiday", "CatBoost"),
