@@ -154,6 +154,17 @@ def test_train_and_predict(spark):
         fo.resolve_model("prophet")
 
 
+def test_trees_are_fitted_on_few_partitions(spark):
+    """Statistics of a tree's nodes travel once per partition, so these are bound by the cores, and no row is lost."""
+
+    class Seen:
+        def fit(self, rows):
+            return rows.rdd.getNumPartitions(), rows.count()
+
+    rows = spark.range(100, numPartitions=60).select(F.col("id").alias("Purchase_Quantity"), F.lit(0).alias("features"))
+    assert fc.fit_rows(Seen(), rows) == (2 * spark.sparkContext.defaultParallelism, 100)
+
+
 def test_noise_is_keyed(spark):
     df = spark.range(2000).select(F.array(F.lit(0.0), F.lit(0.0)).alias("v"), F.col("id").alias("k"))
     noise = lambda d: {r.k: tuple(r.n) for r in d.select("k", ft.noisy(F.col("v"), F.col("k")).alias("n")).collect()}
