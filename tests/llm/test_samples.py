@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyseek.llm import language_id, mixing
+from tallyseek.llm import language_id, mixing, secrets
 from tallyseek.llm.common import bounded_sample
 from tests.llm.fixtures import no_docs
 
@@ -33,6 +33,14 @@ def test_every_value_is_sampled(spark):
     assert found.select("lang").distinct().count() == 600 and found.filter("lang IS NULL").count() == 0
 
 
+def test_secret_dictionary_counts_every_document(spark):
+    """Words of three documents each, among 12,000, are in the dictionary; those of two are not."""
+    rare = F.concat(F.lit("word"), F.translate((F.col("id") % 40).cast("string"), "0123456789", "abcdefghij"))
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 120, rare).when(F.col("id") < 122, "twice").otherwise("common").alias("text"))
+    words = secrets.fit_context(docs).words
+    assert len(words) == 41 and "common" in words and "twice" not in words
+
+
 def test_language_stage_keeps_documents_with_shared_ids(spark):
     docs = shared_ids(spark, 20_000)
     assert corpus_pipeline.identify_language(spark, docs, "").count() == 20_000
