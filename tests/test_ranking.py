@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyseek.functions.text import word_tokens
 from tallyseek.operators import dense, fusion
 from tallyseek.operators import lexical as lx
 from tallyseek.operators.ranking import ranked_lists, top_k
@@ -290,3 +291,31 @@ def test_terms_are_counted_in_the_row(spark):
     assert "content" not in rows._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
     got = {(r.chunk_id, r.term): (r.dl, r.tf) for r in rows.collect()}
     assert got == {(1, ""): (5, 1), (1, "a"): (5, 1), (1, "b"): (5, 3), (1, "c"): (5, 1), (4, ""): (0, 1)}
+
+
+def test_rows_are_put_together_by_chunk_before_they_move(spark):
+    chunks = spark.createDataFrame([(i, f"common shared w{i % 7} only{i}") for i in range(40)], "chunk_id int, content string")
+    index = lx.store_index(chunks, word_tokens)
+    idf = lx.idf_table(index.terms, index.corpus.first()["n"])
+    plan = lx.chunk_rows(index.postings, index.frequent, idf)._jdf.queryExecution().executedPlan().toString()
+    # Top down: the first exchange stands above an aggregation; before, the rows themselves were dealt out by chunk.
+    assert "Exchange hashpartitioning(chunk_id" in plan and "partial_collect_list" in plan.split("Exchange hashpartitioning(chunk_id")[1]
+    assert "REPARTITION_BY_NUM" not in plan
+
+
+def test_rare_terms_beyond_the_head_count_in_norms_and_weights(spark):
+    texts = [(i, f"common shared w{i % 7} only{i}") for i in range(40)] + [(None, "common no id"), (99, "alone"), (98, "%")]
+    chunks = spark.createDataFrame(texts, "chunk_id int, content string")
+    index = lx.store_index(chunks, word_tokens)
+    idf = lx.idf_table(index.terms, index.corpus.first()["n"])
+    rows = lx.term_rows(chunks, word_tokens)
+
+    def norms(limit):
+        found = lx.chunk_rows(rows, index.frequent, idf, limit).collect()
+        return {r["chunk_id"]: (r["dl"], r["norm"] and round(r["norm"], 9), tuple(r["profile"] or [])) for r in found}
+
+    def weights(limit):
+        return sorted((r["chunk_id"], r["term"], round(r["weight"], 9)) for r in lx.tfidf_matrix(index, limit).collect())
+
+    assert norms(0) == norms(3) == norms(1000) and norms(3)[98] == (0, None, ())
+    assert weights(0) == weights(3) == weights(1000) and len(weights(3)) == 40 * 4 + 1
