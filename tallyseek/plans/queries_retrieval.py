@@ -260,10 +260,9 @@ def hybrid(spark, folder, k=5, ask=questions):
     docs = corpus(spark, folder)
     clean_docs = docs.withColumn("content", clean_for_embedding(F.col("content")))
     asked, _ = rt.clean_questions(ask(spark, folder))
-    cleaned = asked.select("query_id", F.col("clean").alias("question"))
-    return rt.hybrid_top_k(
-        lx.store_index(clean_docs, asked=lx.query_terms(cleaned)),
-        lx.store_index(docs, word_tokens),
+    return rt.hybrid_texts_top_k(
+        clean_docs,
+        docs,
         hashed_embedding(docs, "chunk_id", F.col("content")),
         asked,
         hashed_embedding(asked, "query_id", F.col("question")),

@@ -319,3 +319,57 @@ def test_rare_terms_beyond_the_head_count_in_norms_and_weights(spark):
 
     assert norms(0) == norms(3) == norms(1000) and norms(3)[98] == (0, None, ())
     assert weights(0) == weights(3) == weights(1000) and len(weights(3)) == 40 * 4 + 1
+
+
+def test_a_scan_in_a_grid_gives_the_products(spark):
+    """More questions than a block, entries that are matrix products and others, missing lists, a chunk that shares nothing."""
+    from tallyseek.operators.scan import dot_top_k
+
+    rng = np.random.default_rng(3)
+    schema = "slots array<int>, vals array<double>, dense array<double>"
+
+    def side(n, shift):
+        rows = []
+        for i in range(n):
+            slots = [0, 1, *sorted(rng.choice(np.arange(2, 60), rng.integers(0, 6), replace=False).tolist())]
+            rows.append((i + shift, slots, rng.random(len(slots)).tolist(), rng.random(3).tolist()))
+        return [*rows, (n + shift, None, None, None), (n + shift + 1, [99], [1.0], None)]
+
+    chunks, asked = side(70, 500), side(30, 0)
+
+    def dots(a, b):
+        x, y = dict(zip(a[1] or [], a[2] or [])), dict(zip(b[1] or [], b[2] or []))
+        return sum(v * y.get(s, 0.0) for s, v in x.items()) + sum(p * q for p, q in zip(a[3] or [], b[3] or []))
+
+    expected = {q[0]: sorted((-round(dots(c, q), 9), c[0]) for c in chunks)[:4] for q in asked}
+    left = spark.createDataFrame(chunks, f"chunk_id long, {schema}")
+    right = spark.createDataFrame(asked, f"query_id long, {schema}")
+    for block, cell in ((1000, 1000), (7, 20)):
+        got = {}
+        for r in dot_top_k(left, right, 4, block, cell).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-round(r.score, 9), r.chunk_id))
+        assert got == expected
+
+
+def test_hybrid_over_texts_needs_no_list_and_agrees_with_the_index_tables(spark, docs, monkeypatch):
+    questions = spark.createDataFrame(
+        [(i, t, t) for i, t in enumerate(["a b", "e", "zz", "d a aa bb", "c"])], "query_id long, question string, clean string"
+    )
+    words = spark.createDataFrame([*DOCS, (6, "aa bb aa"), (7, "bb cc")], docs.schema)
+    embed = lambda df, key, text: dense.hashed_embedding(df, key, F.col(text), 8)
+    vectors, asked = embed(words, "chunk_id", "content"), embed(questions, "query_id", "question")
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    expected = key(rt.hybrid_top_k(lx.store_index(words), lx.store_index(words, lx.word_tokens), vectors, questions, asked, 3))
+    monkeypatch.setattr(rt, "hybrid_top_k", None)
+    assert key(rt.hybrid_texts_top_k(words, words, vectors, questions, asked, 3)) == expected
+
+
+def test_rankers_over_texts_store_no_posting(spark, docs, asked, monkeypatch):
+    monkeypatch.setattr(lx, "term_rows", None)
+    assert lx.bm25_top_k(docs, asked, 2).count() == lx.tfidf_top_k(docs, asked, 2).count() == 6
+
+
+def test_repeated_ids_are_ranked_by_index_tables(spark, asked):
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "e")], "chunk_id long, content string")
+    hits = lx.bm25_top_k(twice, asked, 2)
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in hits.collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (3, 1, 2), (3, 2, 1)]
