@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -197,3 +198,65 @@ def test_requests_are_validated(spark):
     )
     good, bad = fo.validated_requests(requests)
     assert good.count() == 1 and bad.count() == 3
+
+
+def test_least_squares_of_all_folds_read_the_rows_once(spark, monkeypatch):
+    """Every fold's fit and the refit are those of all their rows, without fitting on the rows themselves."""
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        a, b = rng.normal(size=2).tolist()
+        # The third is twice the first, the fourth starts in the third segment, the fifth is constant.
+        rows.append((i // 70, [a, b, 2 * a, float(i > 200 and i % 3 == 0), 0.1], 3 * a - b + 50.0 + i % 5))
+    df = spark.createDataFrame(rows, "segment int, v array<double>, Purchase_Quantity double")
+    segmented = df.select("segment", "Purchase_Quantity", array_to_vector("v").alias("features"))
+    whole = {fold: fc.linear_regression().fit(fc.train_rows(segmented, fold)) for fold in (1, 3, 5, 9)}
+    sizes, plain = [], fc.LinearRegression.fit
+    monkeypatch.setattr(fc.LinearRegression, "fit", lambda self, rows: sizes.append(rows.count()) or plain(self, rows))
+    fit = fc.segment_fit(segmented, fc.linear_regression())
+    for fold, model in whole.items():
+        mine = {r.i: r.prediction for r in fit(fold).transform(segmented.withColumn("i", F.xxhash64("features"))).collect()}
+        for r in model.transform(fc.train_rows(segmented, fold).withColumn("i", F.xxhash64("features"))).collect():
+            assert abs(mine[r.i] - r.prediction) < 1e-4
+    result = fc.grid_search(segmented, fc.MODELS["LinearRegression"])
+    assert abs(result.rows[0]["mean_mse"] - 2) < 0.5 and result.params == {}
+    assert len(sizes) == len(whole) + 6 and max(sizes) <= 12
+    broken = segmented.withColumn("Purchase_Quantity", F.when(F.col("segment") < 2, F.col("Purchase_Quantity")))
+    with pytest.raises(Exception, match="finite"):
+        fc.segment_fit(broken, fc.linear_regression())
+
+
+def test_recipe_has_the_scales_of_the_raw_features(spark):
+    """An unknown category counts as none, and a missing number is an error, in the scales as in the vectors."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    some = facts(spark, range(2019, 2021))
+    holes = some.withColumn("Weather", F.when(F.col("Num_Customers") % 5 > 0, F.col("Weather")))
+    for df in (some, holes, some.unionByName(holes)):
+        recipe = ft.fit_recipe(df, with_event=True)
+        grouped = df.withColumn("Event_Grouped", rl.event_group(F.col("Event"), keep_grouped=True))
+        raw = ft.encoded_columns(recipe.categories, True, "keep")
+        vectors = grouped.select(array_to_vector(F.array(*raw.values())).alias("raw"))
+        stats = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("raw")).alias("s")).select("s.*").first()
+        assert recipe.columns == list(raw)
+        for c, mean, variance in zip(raw, stats["mean"], stats["variance"]):
+            deviation = (variance * (stats["count"] - 1) / stats["count"]) ** 0.5
+            assert recipe.means[c] == pytest.approx(mean, abs=1e-12) and recipe.deviations[c] == pytest.approx(deviation, abs=1e-9)
+    with pytest.raises(PySparkException):
+        ft.fit_recipe(some.withColumn("Stocks", F.when(F.col("Num_Customers") % 7 > 0, F.col("Stocks"))))
+    assert ft.category_counts(holes, ("Weather",))["Weather"] == {
+        r.Weather: r["count"] for r in holes.filter("Weather IS NOT NULL").groupBy("Weather").count().collect()
+    }
+
+
+def test_a_forecast_computes_its_facts_once(spark, monkeypatch):
+    from tallyseek.plans import queries_forecast as qf
+
+    asked = []
+    lines = facts(spark, range(1998, 2002)).withColumns({c: F.lit(1) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")})
+    monkeypatch.setattr(qf, "retail_facts", lambda *_: asked.append(1) or lines)
+    row = qf.linear_forecast(spark, "").first()
+    assert (row.tested, row.consistent, asked) == (280, True, [1])
