@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyseek.functions.text import clean_for_embedding, strip_punctuation, word_tokens
 from tallyseek.operators import fusion
 from tallyseek.operators import lexical as lx
-from tallyseek.operators.dense import hashed_embedding, nearest
+from tallyseek.operators.dense import hashed_bag_embedding, hashed_embedding, nearest
 from tallyseek.operators.ranking import parse_ranked_lists, ranked_lists
 from tallyseek.plans import retrieval as rt
 from tallyseek.plans.facts import corpus, questions, table
@@ -157,13 +157,14 @@ def top1_accuracy(spark, folder):
 def rankings(spark, folder):
     """Three rankers' top-3 lists for every question."""
     docs, asked = corpus(spark, folder), questions(spark, folder)
+    bags = lx.store_bags(docs)
     return {
         "bm25plus": lx.bm25_top_k(
             plain_corpus(spark, folder), plain_questions(spark, folder), 3, lx.BATCH_PARAMS
         ),
-        "tf_idf": lx.tfidf_top_k(docs, asked, 3),
+        "tf_idf": lx.tfidf_top_k(docs, asked, 3, bags=bags),
         "m3": nearest(
-            hashed_embedding(docs, "chunk_id", F.col("content")),
+            hashed_bag_embedding(bags),
             hashed_embedding(asked, "query_id", F.col("question")),
             3,
         ),
@@ -260,13 +261,15 @@ def hybrid(spark, folder, k=5, ask=questions):
     docs = corpus(spark, folder)
     clean_docs = docs.withColumn("content", clean_for_embedding(F.col("content")))
     asked, _ = rt.clean_questions(ask(spark, folder))
+    bags = lx.store_bags(docs)
     return rt.hybrid_texts_top_k(
         clean_docs,
         docs,
-        hashed_embedding(docs, "chunk_id", F.col("content")),
+        hashed_bag_embedding(bags),
         asked,
         hashed_embedding(asked, "query_id", F.col("question")),
         k,
+        bags=bags,
     )
 
 

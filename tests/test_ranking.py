@@ -373,3 +373,21 @@ def test_repeated_ids_are_ranked_by_index_tables(spark, asked):
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "e")], "chunk_id long, content string")
     hits = lx.bm25_top_k(twice, asked, 2)
     assert sorted((r.query_id, r["rank"], r.chunk_id) for r in hits.collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (3, 1, 2), (3, 2, 1)]
+
+
+def test_votes_cut_each_text_into_words_once(spark, tmp_path, monkeypatch):
+    """TF-IDF and the hashed vectors share one count of the words; ids may be null or repeated."""
+    from tallyseek.plans import queries_retrieval as qr
+
+    texts = [(1, "aa bb bb"), (2, "cc, aa!"), (2, "dd"), (3, None), (4, ""), (None, "bb Ee ee"), (5, "? a")]
+    docs = spark.createDataFrame(texts, "chunk_id long, content string")
+    vectors = lambda df: sorted((r.chunk_id or 0, *r.embedding) for r in df.collect())
+    plain = vectors(dense.hashed_embedding(docs, "chunk_id", F.col("content")))
+    assert vectors(dense.hashed_bag_embedding(lx.store_bags(docs))) == plain and len(plain) == 3
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(["aa bb", "cc dd aa", "ee"])], "doc_id long, text string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    spark.createDataFrame([(1, "bb"), (2, "dd ee")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(dense, "word_tokens", lambda text: lx.word_tokens(F.when(text.contains("aa"), F.raise_error(F.lit("cut again"))).otherwise(text)))
+    best = {r.query_id: r.chunk_id for r in qr.combined_vote_top3(spark, str(tmp_path)).filter("rank = 1").collect()}
+    assert best[1] == 0 and set(best) == {1, 2}
