@@ -351,6 +351,22 @@ def test_a_scan_in_a_grid_gives_the_products(spark):
         assert got == expected
 
 
+def test_many_questions_copy_neither_side(spark, monkeypatch):
+    """The chunks are stored once, however many groups of questions scan them, and a group is a bounded number of blocks."""
+    from tallyseek.operators import scan
+
+    left = spark.range(50).selectExpr("id AS chunk_id", "array(int(id % 7)) AS slots", "array(double(id)) AS vals", "CAST(NULL AS array<double>) AS dense")
+    right = spark.range(40).selectExpr("id AS query_id", "array(int(id % 7)) AS slots", "array(1.0D) AS vals", "CAST(NULL AS array<double>) AS dense")
+    stored, plain, groups, best = [], scan.store, [], scan.top_k
+    monkeypatch.setattr(scan, "store", lambda df, name: stored.append((name, df.count())) or plain(df, name))
+    monkeypatch.setattr(scan, "top_k", lambda df, k: groups.append(df.select("query_id").distinct().count()) or best(df, k))
+    rows = scan.dot_top_k(left, right, 2, block=3).collect()
+    assert stored == [("chunks", 50), ("asked", 40)]
+    assert sum(groups) == 40 and len(groups) == 4
+    best_ids = {i: sorted((j for j in range(50) if j % 7 == i % 7), reverse=True)[:2] for i in range(40)}
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in rows} == {(i, place + 1): j for i, ids in best_ids.items() for place, j in enumerate(ids)}
+
+
 def test_hybrid_over_texts_needs_no_list_and_agrees_with_the_index_tables(spark, docs, monkeypatch):
     questions = spark.createDataFrame(
         [(i, t, t) for i, t in enumerate(["a b", "e", "zz", "d a aa bb", "c"])], "query_id long, question string, clean string"
